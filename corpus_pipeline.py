@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import best_two_fit, language_id, quality_crf, source_mix, store
+from lodestone.llm import best_two_fit, jaccard_join, language_id, quality_crf, source_mix, store
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_crf.keep_good(docs, quality_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of each group of near duplicates the lowest id stays."""
+    return jaccard_join.deduplicate(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: every source gives the same number of tokens."""
     return source_mix.select(docs)
@@ -34,6 +39,7 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_language),
     ("quality classifier", classify_quality),
+    ("near duplicates", drop_near_duplicates),
     ("mixing sources", mix_sources),
     ("best-fit packing", pack_bins),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, language_id, quality_crf, source_mix, url_filter
+from . import best_two_fit, jaccard_join, language_id, order_minhash, quality_crf, source_mix, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.fit(labelled))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '([0-9a-z]|[^\x00-\x7F])+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS s FROM g GROUP BY doc_id),
+r AS (SELECT s, min(doc_id) AS id, min(n) AS n FROM n GROUP BY s),
+h AS (SELECT id, n, gram FROM r JOIN g ON g.doc_id = r.id),
+o AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS o, min(x.n) AS na, min(y.n) AS nb
+  FROM h x JOIN h y ON x.gram = y.gram AND x.id < y.id GROUP BY x.id, y.id)
+SELECT a AS doc_a, b AS doc_b, o / (na + nb - o) AS jaccard FROM o WHERE o >= 0.6 * (na + nb - o) - 1e-9
+UNION ALL
+SELECT r.id, n.doc_id, 1.0 FROM n JOIN r USING (s) WHERE n.doc_id <> r.id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -49,6 +71,10 @@ FROM c, u WHERE cum <= unit
 """
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.order_minhash(table(spark, sf_dir, "documents"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit.best_two_fit(table(spark, sf_dir, "documents"))
 
@@ -58,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": OP6_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op6_source_mix": OP6_SQL}
