@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, jaccard_join, language_id, order_minhash, quality_crf, source_mix, url_filter
+from . import best_two_fit, jaccard_join, language_id, order_minhash, quality_crf, source_mix, suffix_lm, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +71,41 @@ FROM c, u WHERE cum <= unit
 """
 
 
+def op7_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts under the model of all documents."""
+    return suffix_lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.order_minhash(table(spark, sf_dir, "documents"))
 
 
+def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark text."""
+    return topk_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '([0-9a-z]|[^\x00-\x7F])+')) AS t FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '([0-9a-z]|[^\x00-\x7F])+') AS w FROM documents),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(w)) AS DOUBLE) / count(*) AS average FROM d),
+p AS (
+  SELECT doc_id, t, dl, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT doc_id, CAST(len(w) AS DOUBLE) AS dl, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t, dl),
+f AS (SELECT t, CAST(count(*) AS DOUBLE) AS df FROM p GROUP BY t),
+i AS (
+  SELECT doc_id, t, CAST(floor(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * dl / average))) * 65536.0::DOUBLE) AS BIGINT) AS impact
+  FROM p JOIN f USING (t), s),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS points
+  FROM q JOIN i USING (t) GROUP BY item_id, doc_id HAVING sum(impact) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY points DESC, doc_id) AS rank FROM r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, points / 65536.0::DOUBLE AS score FROM k WHERE rank <= 10
+"""
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit.best_two_fit(table(spark, sf_dir, "documents"))
 
@@ -84,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op6_source_mix": OP6_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op6_source_mix": OP6_SQL, "op9_block_topk": OP9_SQL}
