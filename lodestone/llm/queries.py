@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, jaccard_join, language_id, order_minhash, quality_crf, source_mix, suffix_lm, topk_search, url_filter
+from . import best_two_fit, jaccard_join, language_id, order_minhash, quality_crf, source_mix, suffix_lm, topk_search, url_filter, wrapper_induction
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
