@@ -295,27 +295,28 @@ class Engine:
         return first, last - first
 
 
-def _attach(catalog: Catalog, name: str, rows: DataFrame, tree: Mapping[str, dict], size: int) -> DataFrame:
+def _attach(catalog: Catalog, name: str, rows: DataFrame, tree: Mapping[str, dict], size: int, at: str = "") -> DataFrame:
     for part, below in tree.items():
+        here = f"{at}__{part}"  # names that no other level of the tree uses
         (step,), _ = catalog.walk(name, part)
         relation = step.relation
         target = catalog.entity(relation.target)
         own = [F.col(o) for o, _ in relation.on]
-        names = [f"__f{i}" for i in range(len(own))]
+        names = [f"{here}__f{i}" for i in range(len(own))]
         child = target.df
         wanted = rows.select(*[c.alias(n) for c, n in zip(own, names, strict=True)]).distinct()
         wanted = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted
         if relation.via is not None:
-            bridge = relation.via.select(*{b: F.col(b).alias(f"__v_{b}") for pair in (relation.on, [(t, b) for b, t in relation.via_on]) for _, b in pair}.values()).distinct()
-            child = child.join(bridge, [F.col(t) == F.col(f"__v_{b}") for b, t in relation.via_on])
-            keys = [F.col(f"__v_{b}") for _, b in relation.on]
+            bridge = relation.via.select(*{b: F.col(b).alias(f"{here}__v_{b}") for pair in (relation.on, [(t, b) for b, t in relation.via_on]) for _, b in pair}.values()).distinct()
+            child = child.join(bridge, [F.col(t) == F.col(f"{here}__v_{b}") for b, t in relation.via_on])
+            keys = [F.col(f"{here}__v_{b}") for _, b in relation.on]
         else:
             keys = [F.col(t) for _, t in relation.on]
         child = child.join(wanted, [k == F.col(n) for k, n in zip(keys, names, strict=True)], "inner")
-        child = _attach(catalog, relation.target, child, below, size)
+        child = _attach(catalog, relation.target, child, below, size, here)
         value = F.struct(*[F.col(f"`{c}`") for c in [*target.df.columns, *below]])
-        grouped = child.groupBy(*names).agg((F.sort_array(F.collect_list(value)) if relation.many and not below else F.collect_list(value) if relation.many else F.first(value)).alias("__value"))
+        grouped = child.groupBy(*names).agg((F.sort_array(F.collect_list(value)) if relation.many and not below else F.collect_list(value) if relation.many else F.first(value)).alias(f"{here}__value"))
         rows = rows.join(grouped, [o == F.col(n) for o, n in zip(own, names, strict=True)], "left").drop(*names)
-        filled = F.coalesce("__value", F.array().cast(grouped.schema["__value"].dataType)) if relation.many else F.col("__value")
-        rows = rows.withColumn(part, filled).drop("__value")
+        filled = F.coalesce(f"{here}__value", F.array().cast(grouped.schema[f"{here}__value"].dataType)) if relation.many else F.col(f"{here}__value")
+        rows = rows.withColumn(part, filled).drop(f"{here}__value")
     return rows

@@ -139,9 +139,9 @@ _rows("distinct_root", _w(lambda w: w.greater_than("quantity", 45.0).or_less_tha
 _rows("join_to_one", _w(lambda w: w.equals("segment", "AUTOMOBILE")), "c_mktsegment = 'AUTOMOBILE'", source="orders JOIN customer ON o_custkey = c_custkey")
 _rows("join_to_one_chain", _w(lambda w: w.in_("region", ["EUROPE", "AFRICA"]).greater_than("price", 200000.0)), "r_name IN ('EUROPE', 'AFRICA') AND o_totalprice > 200000", source="orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 _rows("join_to_many", _w(lambda w: w.equals("returnFlag", "R")), "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
-_rows("join_many_to_many", _plain(lambda w: w.equals("suppliers.nation.n_name", "FRANCE").or_equals("p_size", 1)), "p_size = 1 OR EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey = p_partkey AND n_name = 'FRANCE')", "part", "p_partkey, p_name")
+_rows("join_many_to_many", _plain(lambda w: w.equals("suppliers.nation.n_name", "NATION_6").or_equals("p_size", 1)), "p_size = 1 OR EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey = p_partkey AND n_name = 'NATION_6')", "part", "p_partkey, p_name")
 _rows("join_many_to_many_semi", _plain(lambda w: w.less_than("suppliers.s_acctbal", 0.0)), "EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_acctbal < 0)", "part", "p_partkey, p_name")
-_rows("join_to_many_to_one", _w(lambda w: w.starts_with("brand", "Brand#2").equals("supplierNation", "CANADA")), "EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_orderkey = o_orderkey AND starts_with(p_brand, 'Brand#2') AND n_name = 'CANADA')")
+_rows("join_to_many_to_one", _w(lambda w: w.starts_with("brand", "Brand#2").equals("supplierNation", "NATION_3")), "EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_orderkey = o_orderkey AND starts_with(p_brand, 'Brand#2') AND n_name = 'NATION_3')")
 _rows("join_reuse", _w(lambda w: w.equals("returnFlag", "R").greater_than("quantity", 48.0)), "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 48)")
 _rows("join_reuse_none", _w(lambda w: w.equals("returnFlag", "R").equals("returnFlag", "A")), "false")
 _rows("join_negated_child", _w(lambda w: w.not_contains("partName", "ring")), "EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND NOT contains(p_name, 'ring'))")
@@ -190,7 +190,7 @@ for _name, _dir, _fn, _nulls in (("agg_min_sort", "asc", "min", "ASC NULLS FIRST
 _add("agg_group_by_pk", lambda s, d: _engine(s, d)._ranked(search(ORDERS).where(lambda w: w.equals("returnFlag", "R")).sort(lambda o: o.asc("quantity")).build())[0].select(F.col("__pk0").alias("o_orderkey"), F.col("__s0").alias("lowest")), "SELECT o_orderkey, min(l_quantity) AS lowest FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY o_orderkey")
 
 _FROM, _TO = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 24, 7, 30)
-_BUCKET = "((epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-03')) * {n}) // (epoch_ms(TIMESTAMP '2024-01-24 07:30:00') - epoch_ms(TIMESTAMP '2024-01-03'))"
+_BUCKET = "(((epoch_us(ts) // 1000) - epoch_ms(TIMESTAMP '2024-01-03')) * {n}) // (epoch_ms(TIMESTAMP '2024-01-24 07:30:00') - epoch_ms(TIMESTAMP '2024-01-03'))"
 _INSIDE = "ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-24 07:30:00'"
 _add(
     "bucket_count_group",
@@ -205,7 +205,7 @@ _add(
 _add(
     "bucket_count_to_many",
     lambda s, d: _engine(s, d).buckets(_w(lambda w: w.greater_than("quantity", 40.0).or_equals("status", "P"))(), "o_orderdate", dt.datetime(1995, 1, 1), dt.datetime(1997, 1, 1), 24),
-    "SELECT b.range AS bucket, coalesce(n, 0) AS n FROM range(24) b LEFT JOIN (SELECT ((epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-01-01')) * 24) // (epoch_ms(TIMESTAMP '1997-01-01') - epoch_ms(TIMESTAMP '1995-01-01')) AS bucket, count(DISTINCT o_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE (l_quantity > 40 OR o_orderstatus = 'P') AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1) c ON c.bucket = b.range",
+    "SELECT b.range AS bucket, coalesce(n, 0) AS n FROM range(24) b LEFT JOIN (SELECT (((epoch_us(o_orderdate) // 1000) - epoch_ms(TIMESTAMP '1995-01-01')) * 24) // (epoch_ms(TIMESTAMP '1997-01-01') - epoch_ms(TIMESTAMP '1995-01-01')) AS bucket, count(DISTINCT o_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE (l_quantity > 40 OR o_orderstatus = 'P') AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1) c ON c.bucket = b.range",
 )
 
 # --- sorts and pages -----------------------------------------------------------------------------------------
@@ -230,7 +230,7 @@ _add(
 
 # --- functions ------------------------------------------------------------------------------------------------
 
-_add("fn_epoch_millis", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "SELECT event_id, epoch_ms(ts) AS ms FROM events")
+_add("fn_epoch_millis", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "SELECT event_id, (epoch_us(ts) // 1000) AS ms FROM events")
 _rows("fn_json_as_text", _plain(lambda w: w.contains("props", '"k": 6').ends_with("props", "}")), "contains(props, '\"k\": 6') AND suffix(props, '}')", "events", "event_id, props")
 _rows("fn_like_escape", _plain(lambda w: w.contains("p_brand", "#1_").or_contains("p_brand", "%").or_contains("p_brand", "#3")), "p_brand LIKE '%#1\\_%' ESCAPE '\\' OR p_brand LIKE '%\\%%' ESCAPE '\\' OR p_brand LIKE '%#3%'", "part", "p_partkey, p_brand")
 
