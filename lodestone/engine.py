@@ -92,7 +92,8 @@ class Engine:
         children = joined.df.where(fold(tuple(replace(c, logic=None) for c in inner), self._one(joined)))
         names = [f"__key{i}" for i in range(len(relation.on))]
         if relation.via is not None:
-            children = relation.via.join(children, [F.col(f"`{b}`") == F.col(f"`{t}`") for b, t in relation.via_on], "left_semi")
+            ends = children.select(*[F.col(t).alias(f"__end{i}") for i, (_, t) in enumerate(relation.via_on)])
+            children = relation.via.join(ends, [F.col(b) == F.col(f"__end{i}") for i, (b, _) in enumerate(relation.via_on)], "left_semi")
         keys = children.select(*[F.col(t).alias(n) for (_, t), n in zip(relation.on, names, strict=True)])
         return df.join(keys, [F.col(own) == F.col(n) for (own, _), n in zip(relation.on, names, strict=True)], "left_semi")
 
