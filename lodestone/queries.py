@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import errors, openapi
 from .engine import Engine
+from .errors import SearchError, SearchValidationError
+from .functions.columns import bucket_of
+from .functions.values import ValueType, date_only, enum, has_zone, parse, parse_bound
 from .operators.joins import join_paths
-from .plans.builder import search
-from .plans.ir import Search
+from .plans.builder import SearchBuilder, from_search, search
+from .plans.ir import Op, Search
 from .plans.schema import SearchSchema, text, typed
 from .sources.catalog import parquet_catalog
 from .sources.json_request import from_json, to_json
@@ -257,6 +261,127 @@ _rows("ir_params_split", lambda: from_params({"priority.in": "1-URGENT,5-LOW", "
 _rows("ir_json_group_flatten", lambda: from_json('{"conditions": [{"field": "status", "searchOperator": "equals", "value": "P"}, {"operator": "or", "conditions": [{"operator": "or", "conditions": [{"field": "price", "searchOperator": "lessThan", "value": "5000"}]}]}]}', ORDERS), "o_orderstatus = 'P' OR o_totalprice < 5000")
 
 
+# --- values, requests, checks, documentation: what the driver computes, as rows -------------------------------------
+
+
+def _facts(name: str, columns: str, rows: Callable[[], list[tuple]], sql_rows: list[tuple]) -> None:
+    """Rows made on the driver, against the same rows written as SQL values."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def value(v) -> str:
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in sql_rows)
+    casts = ", ".join(f"CAST({n} AS {'BIGINT' if c.endswith('long') else 'BOOLEAN' if c.endswith('boolean') else 'VARCHAR'}) AS {n}" for n, c in zip(names, columns.split(", "), strict=True))
+    _add(name, lambda s, d: s.createDataFrame(rows(), columns), f"SELECT {casts} FROM (VALUES {body}) t({', '.join(names)})")
+
+
+def _parsed(name: str, kind: str, cases: list[tuple[str | None, str | None]], parser=None) -> None:
+    """A parser's results as text; an error gives '!'."""
+
+    def run() -> list[tuple]:
+        out = []
+        for given, _ in cases:
+            try:
+                v = parser(given) if parser else parse(given, ValueType(kind))
+            except SearchError:
+                v = "!"
+            out.append((given, None if v is None else str(v)))
+        return out
+
+    _facts(name, "given string, parsed string", run, cases)
+
+
+_parsed("parse_datetime", "datetime", [("2024-03-05T12:30:15", "2024-03-05 12:30:15"), ("2024/03/05 12:30:15", "2024-03-05 12:30:15"), ("20240305123015", "2024-03-05 12:30:15"), ("2024-03-05T12:30:15+09:00", "2024-03-05 03:30:15"), ("2024-03-05", "2024-03-05 00:00:00"), ("soon", "!")])
+_parsed("parse_zone_detect", "", [("2024-03-05T12:30:15Z", "True"), ("2024-03-05T12:30:15+09:00", "True"), ("2024-03-05T12:30:15", "False"), ("2024-03-05", "False")], has_zone)
+_parsed("parse_date", "date", [("2024-03-05", "2024-03-05"), ("05/03/2024", "2024-03-05"), ("2024.03.05", "2024-03-05"), ("20240305", "2024-03-05"), ("2024-02-30", "!")])
+_parsed("parse_time", "time", [("08:05:09", "08:05:09"), ("8:05", "08:05:00"), ("0805", "08:05:00"), ("080509", "08:05:09"), ("24:00", "!")])
+_parsed("parse_instant", "timestamp", [("2024-03-05T12:30:15Z", "2024-03-05 12:30:15+00:00"), ("2024-03-05T12:30:15+02:00", "2024-03-05 12:30:15+02:00"), ("Tue, 5 Mar 2024 12:30:15 GMT", "2024-03-05 12:30:15+00:00"), ("never", "!")])
+_parsed("parse_between_bounds", "", [("2024-03-05", "2024-03-05 23:59:59.999999"), ("2024-03-05T10:00:00", "2024-03-05 10:00:00")], lambda t: parse_bound(t, ValueType("datetime"), True))
+_parsed("parse_date_only", "", [("2024-03-05", "2024-03-05"), ("2024-03-05T00:00:00", None), ("20240305", "2024-03-05")], date_only)
+_parsed("parse_numeric", "int", [("1,234", "1234"), ("-7", "-7"), ("2147483648", "!"), ("1.5", "!")])
+_parsed("parse_boolean", "boolean", [("yes", "True"), ("OFF", "False"), ("1", "True"), ("2", "!")])
+_parsed("parse_enum", "", [("draft", "DRAFT"), ("Live", "Live"), ("gone", "!")], lambda t: parse(t, enum("DRAFT", "Live")))
+_parsed("parse_char", "char", [("x", "x"), ("xy", "!")])
+_parsed("parse_uuid", "uuid", [("0000000A-0000-0000-0000-00000000000F", "0000000a-0000-0000-0000-00000000000f"), ("x", "!")])
+_parsed("parse_null", "int", [("null", None), (" ", None), (None, None), ("5", "5")])
+
+_rows("ir_where", lambda: search(ORDERS).where(lambda w: w.equals("status", "O")).where(lambda w: w.where(lambda v: v.less_than("price", 90000.0)).starts_with("priority", "2")).build(), "o_orderstatus = 'O' AND o_totalprice < 90000 AND starts_with(o_orderpriority, '2')")
+_rows("ir_and_or_nested", _w(lambda w: w.equals("status", "F").or_(lambda g: g.less_than("price", 20000.0).and_(lambda h: h.starts_with("priority", "1").or_starts_with("priority", "2"))).and_(lambda g: g)), "o_orderstatus = 'F' OR (o_totalprice < 20000 AND (starts_with(o_orderpriority, '1') OR starts_with(o_orderpriority, '2')))")
+_rows("ir_first_op_null", _w(lambda w: w.or_equals("status", "P").greater_than("price", 100000.0)), "o_orderstatus = 'P' AND o_totalprice > 100000")
+_rows("ir_from", lambda: from_search(_w(lambda w: w.equals("status", "O"))(), ORDERS).where(lambda w: w.greater_than("price", 250000.0)).build(), "o_orderstatus = 'O' AND o_totalprice > 250000")
+_page("ir_sort", lambda: search(ORDERS).sort(lambda s: s.asc("price")).sort(lambda s: s.desc("id")).build(), f"SELECT {_ORDER} FROM orders ORDER BY o_orderkey DESC LIMIT 20")
+_page("ir_page_size", lambda: search(ORDERS).page(2).size(7).build(), f"SELECT {_ORDER} FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 14")
+_add("ir_fetch_fields", lambda s, d: _engine(s, d).find_all(search(ORDERS).page(0).size(5).fetch_fields("customer").build()).content.select("o_orderkey", F.col("customer.c_name").alias("c_name")), "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 5")
+_rows("ir_json_values", lambda: from_json('{"conditions": [{"field": "id", "searchOperator": "in", "value": [1, "2", 3]}]}', ORDERS), "o_orderkey IN (1, 2, 3)")
+_page("ir_params_grammar", lambda: from_params({"status.equals": "P", "price.lessThan": "90000", "sort": "priority.asc,price.desc", "page": "0", "size": "10"}, ORDERS), f"SELECT {_ORDER} FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 90000 ORDER BY o_orderpriority NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10")
+
+_CHECKED = SearchSchema("checked", (typed("n", "int", None, Op.EQUALS, Op.BETWEEN, Op.IN, Op.IS_NULL, minimum=0), text("s", None, min_length=2, max_length=4), typed("j", "json")))
+
+
+def _problems(name: str, cases: list[tuple[str, Callable[[SearchBuilder], SearchBuilder], int]]) -> None:
+    """How many problems a request has."""
+
+    def run() -> list[tuple]:
+        out = []
+        for label, fill, _ in cases:
+            try:
+                fill(search(_CHECKED)).build()
+                out.append((label, 0))
+            except SearchValidationError as e:
+                out.append((label, len(e.problems)))
+        return out
+
+    _facts(name, "label string, problems long", run, [(label, n) for label, _, n in cases])
+
+
+_problems("field_whitelist", [("unknown", lambda b: b.where(lambda w: w.equals("x", 1)), 1), ("operator", lambda b: b.where(lambda w: w.less_than("n", 1)), 1), ("sort", lambda b: b.sort(lambda s: s.asc("n")), 1), ("all", lambda b: b.where(lambda w: w.equals("x", 1).less_than("n", 1)).sort(lambda s: s.asc("n")), 3)])
+_problems("ir_validate", [("good", lambda b: b.where(lambda w: w.equals("n", "5")).page(0).size(1), 0), ("bad", lambda b: b.where(lambda w: w.equals("n", "x")), 1)])
+_problems("val_page", [("page only", lambda b: b.page(1), 1), ("negative", lambda b: b.page(-1).size(1), 1), ("size", lambda b: b.page(0).size(0), 1)])
+_problems("val_null", [("null", lambda b: b.where(lambda w: w.equals("n", None)), 1), ("is null", lambda b: b.where(lambda w: w.is_null("n")), 0)])
+_problems("val_between2", [("one end", lambda b: b.where(lambda w: w.between("n", 1)), 1), ("two ends", lambda b: b.where(lambda w: w.between("n", 1, 2)), 0), ("bad end", lambda b: b.where(lambda w: w.between("n", 1, "x")), 1)])
+_problems("val_collection", [("scalar", lambda b: b.where(lambda w: w.in_("n", 1)), 1), ("empty", lambda b: b.where(lambda w: w.in_("n", [])), 1), ("bad item", lambda b: b.where(lambda w: w.in_("n", [1, "x"])), 1), ("good", lambda b: b.where(lambda w: w.in_("n", [1, "2"])), 0)])
+_problems("val_type", [("text", lambda b: b.where(lambda w: w.equals("n", "x")), 1), ("double", lambda b: b.where(lambda w: w.equals("n", 1.5)), 1), ("parsed", lambda b: b.where(lambda w: w.equals("n", "1")), 0)])
+_problems("val_constraints", [("short", lambda b: b.where(lambda w: w.equals("s", "a")), 1), ("long", lambda b: b.where(lambda w: w.equals("s", "abcde")), 1), ("low", lambda b: b.where(lambda w: w.equals("n", -1)), 1), ("items", lambda b: b.where(lambda w: w.in_("s", ["a", "ab", "abcde"])), 2)])
+_problems("val_json_skip", [("any text", lambda b: b.where(lambda w: w.equals("j", "{")), 0)])
+_problems("val_pattern_empty", [("empty", lambda b: b.where(lambda w: w.contains("s", "")), 1), ("number", lambda b: b.where(lambda w: w.contains("n", "1")), 2)])
+
+
+def _rejected(text_: str) -> str:
+    try:
+        from_json(text_, _CHECKED)
+    except SearchError as e:
+        return e.key
+    return "ok"
+
+
+_facts("val_json_shape", "body string, outcome string", lambda: [(b, _rejected(b)) for b in ('{"conditions": {}}', '{"conditions": [{"field": "n"}]}', '{"conditions": [{"searchOperator": "equals"}]}', '{"conditions": [{"field": "n", "searchOperator": "like"}]}', "{}")], [('{"conditions": {}}', "json.conditions"), ('{"conditions": [{"field": "n"}]}', "json.operator"), ('{"conditions": [{"searchOperator": "equals"}]}', "json.field"), ('{"conditions": [{"field": "n", "searchOperator": "like"}]}', "operator.unknown"), ("{}", "ok")])
+_facts("err_hierarchy", "name string, is_search_error boolean", lambda: [(k.__name__, issubclass(k, SearchError)) for k in (errors.SearchConfigurationError, errors.SearchValidationError, errors.SearchOperationError, errors.SearchJoinError, errors.SearchParseError)], [(f"Search{k}Error", True) for k in ("Configuration", "Validation", "Operation", "Join", "Parse")])
+
+
+def _both_languages() -> list[tuple]:
+    out = []
+    for language in ("en", "ko"):
+        errors.set_language(language)
+        out.append((language, errors.message("page.both")))
+    errors.set_language("en")
+    return out
+
+
+_facts("err_i18n", "language string, message string", _both_languages, [("en", "page and size go together"), ("ko", "page와 size는 함께 지정해야 합니다")])
+
+_facts("doc_description", "line string", lambda: [(x,) for x in openapi.description(_CHECKED).split("\n")[2:]], [("- `n` (equals|isNull|in|between)",), ("- `s` (" + "|".join(o.value for o in Op) + ")",), ("- `j` (" + "|".join(o.value for o in Op) + ")",)])
+_facts("doc_params", "name string", lambda: [(p["name"],) for p in openapi.parameters(_CHECKED) if p["name"][0] in "np" or "." not in p["name"]], [("n.equals",), ("n.isNull",), ("n.in",), ("n.between",), ("page",), ("size",), ("sort",)])
+_facts("doc_param_schema", "operator string, type string", lambda: [(o.value, openapi.parameter_schema(_CHECKED.get("n"), o)["type"]) for o in (Op.EQUALS, Op.IS_NULL, Op.IN, Op.BETWEEN)], [("equals", "integer"), ("isNull", "boolean"), ("in", "string"), ("between", "string")])
+_facts("doc_enum_constraints", "value string", lambda: [(v,) for v in openapi.allowed_values(text("x", pattern="DRAFT|LIVE")) + openapi.allowed_values(typed("y", enum("A", "B")))], [("DRAFT",), ("LIVE",), ("A",), ("B",)])
+_facts("doc_example", "field string, operator string, page long, size long", lambda: [(c["field"], c["searchOperator"], e["page"], e["size"]) for e in [openapi.example(_CHECKED)] for c in e["conditions"]], [("n", "equals", 0, 10)])
+_facts("doc_page_size_sort", "name string, type string, minimum long", lambda: [(p["name"], p["schema"]["type"], p["schema"].get("minimum", -1)) for p in openapi.paging_parameters(ORDERS)], [("page", "integer", 0), ("size", "integer", 1), ("sort", "array", -1)])
+
+_add("fn_case_when", lambda s, d: _engine(s, d, "events").bucket_sums(Search(), "ts", _FROM, _TO, 2), "SELECT " + ", ".join(f"count(*) FILTER (WHERE bucket = {i}) AS b{i}" for i in range(2)) + f" FROM (SELECT {_BUCKET.format(n=2)} AS bucket FROM events WHERE {_INSIDE})")
+_add("fn_arith", lambda s, d: s.read.parquet(f"{d}/events.parquet").where((F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-24 07:30:00").cast("timestamp_ntz"))).select("event_id", bucket_of(F.col("ts"), int(_FROM.replace(tzinfo=dt.timezone.utc).timestamp() * 1000), int((_TO - _FROM).total_seconds() * 1000), 37).alias("bucket")), f"SELECT event_id, {_BUCKET.format(n=37)} AS bucket FROM events WHERE {_INSIDE}")
+_add("fn_concat_key", lambda s, d: _engine(s, d, "conversations").matched_keys(Search()).select(F.concat_ws("|", F.col("__pk0").cast("string"), F.col("__pk1").cast("string")).alias("key")), "SELECT CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR) AS key FROM conversations")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Large orders of one market segment, latest first, first page."""
     return _queries["find_all"](spark, folder)
