@@ -11,6 +11,7 @@ by that piece, more tightly.
 from __future__ import annotations
 
 from bisect import bisect_right
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,7 @@ def best_two_fit(docs: DataFrame, capacity: int = 2048, shard_docs: int = 50_000
     sized = store.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text")).alias("n")).where("n > 0"), "pack")
     shards = max(1, -(-sized.count() // shard_docs))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "n"], na_position="first", kind="stable")
         ids, sizes = rows["doc_id"].tolist(), rows["n"].to_numpy()
         ids = [None if pd.isna(x) else int(x) for x in ids]

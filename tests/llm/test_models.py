@@ -1,0 +1,193 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lodestone.llm import language_id, quality_crf, url_filter
+from lodestone.llm.charlm import CharModels, HashArray, codes
+
+from .conftest import SCHEMA, sentence
+
+
+def test_hash_array():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    keys = np.unique(np.concatenate([keys, np.array([0, 1, 2**64 - 1], np.uint64)]))
+    table = HashArray(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    others = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    want = np.where(np.isin(others, keys), np.searchsorted(keys, others), -1)
+    assert (table.find(others) == want).all()
+    assert (HashArray(np.zeros(0, np.uint64)).find(others) == -1).all()
+
+
+@pytest.mark.parametrize(("smoothing", "least"), [("kn", 1), ("wb", 2)])
+def test_model_is_a_distribution(smoothing, least):
+    texts = {"a": ["abracadabra banana", "cabbage"], "b": ["zzz ab"]}
+    m = CharModels.train(texts, 3, smoothing, least)
+    alphabet = sorted(set("".join(texts["a"] + texts["b"])) | {" "})
+    for context in ("ab", "zq", "  ", "na"):
+        total = np.zeros(2)
+        for c in [*alphabet, "☃"]:  # everything unseen shares one place
+            cp, _, ends = codes([context + c], m.order)
+            total += np.exp(m.positions(cp)[ends[0] - 1])
+        assert np.allclose(total, 1, atol=1e-3)
+
+
+def brute_kn(text, order, history, c):
+    """Interpolated Kneser-Ney straight from the definition."""
+    pad = " " * (order - 1)
+    s = pad + text
+    grams = [{}, *({} for _ in range(order))]
+    for n in range(1, order + 1):
+        for i in range(order - 1, len(s)):
+            g = s[i - n + 1 : i + 1]
+            grams[n][g] = grams[n].get(g, 0) + 1
+    for n in range(1, order):
+        longer = {}
+        for g in grams[n + 1]:
+            longer[g[1:]] = longer.get(g[1:], 0) + 1
+        grams[n] = longer
+    p = 1 / (len(set(s[order - 1 :])) + 1)
+    alphabet = set(s)
+    p = 1 / (len(alphabet) + 1)
+    for n in range(1, order + 1):
+        counts = list(grams[n].values())
+        n1, n2 = counts.count(1), counts.count(2)
+        d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.95)
+        h = history[len(history) - n + 1 :] if n > 1 else ""
+        follow = {g: v for g, v in grams[n].items() if g[:-1] == h}
+        total = sum(follow.values())
+        if total:
+            p = max(follow.get(h + c, 0) - d, 0) / total + d * len(follow) / total * p
+    return p
+
+
+def test_kneser_ney_equals_brute_force():
+    text = "the cat sat on the mat and the rat ate the cat"
+    m = CharModels.train({"x": [text]}, 3)
+    for probe in ("the cat", "a hat", "zzz", "mat sat"):
+        cp, starts, ends = codes([probe], 3)
+        got = np.exp(m.positions(cp)[starts[0] : ends[0], 0])
+        padded = "  " + probe
+        want = [brute_kn(text, 3, padded[i : i + 2], padded[i + 2]) for i in range(len(probe))]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, english, german, rng):
+    rows = [(i, sentence(rng, rng.randrange(5, 60), english if i % 2 else german).capitalize() + ".", "en" if i % 2 else "de", "s", 0) for i in range(300)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_language_id(spark, labelled, english, german, rng):
+    model = language_id.fit(labelled, per_language=80)
+    held = spark.createDataFrame([(i, sentence(rng, 12, english if i % 2 else german), None, None, None) for i in range(200)] + [(900, "Съешь же ещё этих мягких французских булок", None, None, None), (901, "zxqj vvkw qqzx jjxw kqvz xxwq zzkj qxv", None, None, None)], SCHEMA)
+    got = {r.doc_id: r for r in language_id.identify(held, model).collect()}
+    assert all(got[i].language == ("en" if i % 2 else "de") and got[i].accepted for i in range(200))
+    assert not got[900].accepted and not got[901].accepted
+    kept = language_id.keep_identified(held, model)
+    assert kept.columns == held.columns and kept.count() == 200
+
+
+def test_language_id_on_awkward_tables(awkward, empty, labelled):
+    model = language_id.fit(labelled, per_language=60)
+    rows = language_id.identify(awkward, model).collect()
+    assert len(rows) == awkward.count()
+    for r in rows:
+        if r.doc_id in (1, 2, 3, 7):
+            assert r.language is None and not r.accepted
+    assert [r for r in rows if r.doc_id in (1, 2, 3)][0].cross_entropy is None
+    assert language_id.identify(empty, model).count() == 0 and language_id.fit(empty) is None
+    none = language_id.identify(awkward, None).collect()
+    assert len(none) == awkward.count() and not any(r.accepted for r in none)
+    assert language_id.keep_identified(awkward, model).columns == awkward.columns and language_id.keep_identified(awkward, None).count() == 0
+
+
+def test_url_filter(spark, rng):
+    words = ["garden", "river", "stone", "letter", "bridge", "market"]
+
+    def url(bad):
+        host = rng.choice(["casino", "pills", "bets"]) + rng.choice(["-win", "-now", "24"]) if bad else rng.choice(words) + rng.choice(words)
+        return f"https://{rng.choice(['www.', 'm.', ''])}{host}.example.com/{rng.choice(words)}/{rng.randrange(999)}"
+
+    rows = [(i, url(i % 3 == 0)) for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    from pyspark.sql import functions as F
+
+    model = url_filter.fit(pages.select("url", url_filter.weak_label(F.col("url")).alias("label")))
+    fresh = [(i, url(i % 3 == 0)) for i in range(600)]
+    kept = {r.page_id for r in url_filter.filter_urls(spark.createDataFrame(fresh, "page_id long, url string"), model).collect()}
+    wrong = sum((i % 3 != 0) != (i in kept) for i, _ in fresh)
+    assert wrong <= 6
+    # spelling variants that no list of words holds
+    assert not (model.score(["http://casin0s-win.example.com/a", "http://bet-now.example.com/"]) >= model.threshold).any()
+
+
+def test_url_filter_on_awkward_tables(spark):
+    pages = spark.createDataFrame([(1, None, "x"), (None, "http://a.com/", "y"), (2, "", None), (3, "no scheme", "z"), (3, "no scheme", "z"), (4, "http://" + "x" * 100_000, "q")], "page_id long, url string, score string")
+    model = url_filter.fit(spark.createDataFrame([("http://good.com/a", "accepted"), ("http://bad.com/b", "rejected"), (None, None)], "url string, label string"))
+    rows = url_filter.filter_urls(pages, model).collect()
+    assert all(r.url for r in rows) and len({r.score for r in rows if r.page_id == 3}) <= 1
+    assert url_filter.filter_urls(pages, None).count() == 4
+    assert url_filter.filter_urls(pages.limit(0), model).count() == 0
+    assert url_filter.fit(spark.createDataFrame([("u", "accepted")], "url string, label string")) is None
+
+
+def test_chain_equals_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    first = np.array([0, 4, 4, 5, 8])
+    scores, move = rng.normal(size=(8, 2)), rng.normal(size=(2, 2))
+    marginal, pair, z = quality_crf.chain(scores, first, move)
+    want, pairs = np.zeros((8, 2)), np.zeros((2, 2))
+    for d in range(4):
+        a, b = first[d], first[d + 1]
+        paths = list(itertools.product((0, 1), repeat=b - a))
+        w = np.array([np.exp(sum(scores[a + i, y] for i, y in enumerate(p)) + sum(move[x, y] for x, y in itertools.pairwise(p))) for p in paths])
+        assert b == a or np.isclose(z[d], np.log(w.sum()))
+        for p, v in zip(paths, w / w.sum(), strict=True):
+            for i, y in enumerate(p):
+                want[a + i, y] += v
+            for x, y in itertools.pairwise(p):
+                pairs[x, y] += v
+    assert np.allclose(marginal, want) and np.allclose(pair, pairs)
+
+
+@pytest.fixture(scope="module")
+def good_and_bad(spark, english, rng):
+    def good():
+        return "\n".join(sentence(rng, rng.randrange(8, 25), english).capitalize() + "." for _ in range(rng.randrange(2, 8)))
+
+    def bad():
+        kind = rng.randrange(3)
+        lines = [sentence(rng, 12, english) for _ in range(rng.randrange(2, 6))]
+        return "\n".join(" ".join(w.upper() + "!!" for w in x.split()) if kind == 0 else " | ".join(x.split()) if kind == 1 else " ".join([x.split()[0]] * 30) for x in lines)
+
+    rows = [(i, good() if i % 2 else bad(), "en", "s", 0) for i in range(400)]
+    return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int"), (good, bad)
+
+
+def test_quality(spark, good_and_bad, english, rng):
+    docs, labels, (good, bad) = good_and_bad
+    model = quality_crf.fit(docs, labels, per_label=100)
+    got = {r.doc_id: r for r in quality_crf.classify(docs, model).collect()}
+    assert sum(got[i].accepted != bool(i % 2) for i in range(300, 400)) <= 1
+    # neighbours and lengths count: a short bad line spoils no long good text
+    q = model.score(pa.array([good() + "\nBUY!! NOW!!\n" + good(), bad() + "\nThe garden.\n" + bad()]))[0]
+    assert q[0] > 0.7 and q[1] < 0.4
+    kept = quality_crf.keep_good(docs, model)
+    assert kept.columns == docs.columns and abs(kept.count() - 200) <= 3
+
+
+def test_quality_on_awkward_tables(awkward, empty, good_and_bad, spark):
+    docs, labels, _ = good_and_bad
+    model = quality_crf.fit(docs, labels, per_label=60)
+    rows = quality_crf.classify(awkward, model).collect()
+    assert len(rows) == awkward.count()
+    by = {r.doc_id: r for r in rows if r.doc_id}
+    assert all(by[i].quality is None and by[i].lines == 0 and not by[i].accepted for i in (1, 2, 3)) and by[5].quality == by[6].quality
+    assert quality_crf.keep_good(awkward, model).columns == awkward.columns
+    assert quality_crf.classify(empty, model).count() == 0
+    assert quality_crf.fit(docs, labels.where("quality = 1")) is None and quality_crf.fit(empty, labels) is None
+    assert {r.doc_id for r in quality_crf.classify(awkward, None).where("accepted and doc_id is not null").collect()} == {4, 5, 6, 7, 8}
