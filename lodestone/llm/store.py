@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _test_folder: list[str] = []
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,9 +34,25 @@ def write(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])  # when the application ends
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process has written; results that still read
+    them have to be written out before."""
+    while _written:
+        system, path = _files(spark, _written.pop())
+        system.delete(path, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """The path and its file system, as the JVM's objects."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a *written* table for broadcast when its row count times
     ``row_bytes`` stays under ``limit``; beyond it the join shuffles."""

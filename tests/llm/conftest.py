@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from lodestone.llm import store
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -37,3 +39,9 @@ def awkward(spark):
 @pytest.fixture
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def cleared(spark):
+    yield
+    store.clear(spark)

@@ -39,9 +39,14 @@ def test_stages(spark, tmp_path):
 
 
 def test_shared_folder_is_read_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
-    try:
-        store.write(spark.range(3), "x")
-        assert store.shared_folder(spark) == f"file://{tmp_path}/shared" and os.listdir(tmp_path / "shared/lodestone")[0].startswith("x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: f"file://{tmp_path}/shared/" if key == "spark.checkpoint.dir" else default)
+
+    assert store.shared_folder(Session) == f"file://{tmp_path}/shared"
+    before = len(store._written)
+    store.write(spark.range(3), "x")
+    path = store._written[before].removeprefix("file://")
+    assert path.startswith(store.shared_folder(spark).removeprefix("file://") + "/lodestone/x-") and os.path.exists(path)
+    store.clear(spark)
+    assert not os.path.exists(path) and not store._written
