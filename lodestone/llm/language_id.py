@@ -42,12 +42,16 @@ class LanguageModel:
         return np.where(letters, best, -1), np.where(n > 0, value, np.nan), accepted
 
 
-def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order: int = ORDER, quantile: float = 0.995, margin: float = 0.25) -> LanguageModel | None:
+def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order: int = ORDER, quantile: float = 0.995, margin: float = 0.75) -> LanguageModel | None:
     """Trains on at most ``per_language`` labelled documents of each ``lang``.
 
-    A share ``held_out`` of them calibrates the rejection: a text may exceed the
-    language's mean by four standard errors plus ``margin`` of the mean plus the
-    excess that all but 1 - ``quantile`` of the held-out texts stay under.
+    A share ``held_out`` of them calibrates the rejection.  The other languages'
+    held-out texts stand for unknown ones: a language's limit lies halfway from
+    its own mean to what 95 % of those exceed under its model (with a single
+    language ``margin`` of the mean above it), or where all but 1 - ``quantile``
+    of its own texts stay under, if that is higher; a text of n characters may
+    exceed it by four standard errors.  So a text that holds a foreign passage
+    stays, and one that is mostly foreign goes.
     None when no row has both a language and a text.
     """
     rows = sample.per_label(docs.select("doc_id", "lang", "text").where("length(trim(text)) > 0"), "lang", "doc_id", per_language)
@@ -61,12 +65,15 @@ def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order:
     cut = {k: max(1, round(len(v) * (1 - held_out))) for k, v in by.items()}
     models = CharModels.train({k: v[: cut[k]] for k, v in by.items()}, order)
     limit, spread = [], []
-    for i, (k, v) in enumerate(by.items()):
-        total, n = models.score(v[cut[k] :] or v)
+    held = {k: models.score(v[cut[k] :] or v) for k, v in by.items()}
+    for i, k in enumerate(by):
+        total, n = held[k]
         mean, long = -total[:, i].sum() / n.sum(), -total[:, i] / n
         b = 4 * max(0.5, float(np.sqrt(np.average((long - mean) ** 2 * n))))
         excess = np.quantile(long - mean - b / np.sqrt(n), quantile)
-        limit.append(mean * (1 + margin) + max(0.0, excess))
+        others = [-t[:, i] / m for o, (t, m) in held.items() if o != k]
+        far = np.quantile(np.concatenate(others), 0.05) if others else mean * (1 + 2 * margin)
+        limit.append(mean + max(0.5 * (far - mean), excess, 0.0))
         spread.append(b)
     return LanguageModel(models, np.array(limit), np.array(spread))
 
