@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 _RANGE = 1 << 30
 
 
-def per_label(rows: DataFrame, label: str, key: str, limit: int) -> list:
+def per_label(rows: DataFrame, label: str, key: str, limit: int, distinct: bool = False) -> list:
     """At most ``limit`` rows of each label, the lowest by a hash of ``key``.
 
     Labels are counted first; the hash bound follows from the counts, so only
     about ``limit`` rows per label leave the executors, whatever the table's
-    size.  Rows with a null label are not labelled.
+    size.  ``distinct`` takes equal rows once, after the hash has thinned them.
+    Rows with a null label are not labelled.
     """
     rows = rows.where(F.col(label).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
@@ -25,6 +26,7 @@ def per_label(rows: DataFrame, label: str, key: str, limit: int) -> list:
         share = min(1.0, (limit + 4 * limit**0.5) / n)
         bound = F.when(F.col(label) == F.lit(value), F.lit(int(share * _RANGE))).otherwise(bound)
     chosen = rows.withColumn("__h", h).where(F.col("__h") < bound)
+    chosen = chosen.distinct() if distinct else chosen
     out: list = []
     taken: dict = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["__h"], str(r[key]))):
