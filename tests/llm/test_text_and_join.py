@@ -110,6 +110,7 @@ def test_large_groups_are_tiled(spark, copies):
     sets = jaccard_join.describe(docs)
     pairs = jaccard_join.candidates(sets)
     key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(jaccard_join.candidates(sets, block_sets=3)) == key(pairs)
     assert key(jaccard_join.verify(docs, sets, pairs, tile_pairs=1)) == key(jaccard_join.verify(docs, sets, pairs))
 
 
