@@ -91,14 +91,32 @@ def impacts(tf: np.ndarray, length: np.ndarray, df: np.ndarray, n: int, average:
     return np.floor(idf * (tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / average))) * SCALE).astype(np.int64)
 
 
-def top(terms: np.ndarray, maxima: np.ndarray, forward: list[tuple[np.ndarray, ...]], k: int) -> tuple[list[tuple[int, int]], int]:
+class Maxima:
+    """A shard's block maxima, by term: which blocks hold it, with what highest impact."""
+
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        """``blocks``: for each block its terms and their highest impacts."""
+        term = np.concatenate([t for t, _ in blocks])
+        order = np.argsort(term, kind="stable")
+        self.block = np.repeat(np.arange(len(blocks)), [len(t) for t, _ in blocks])[order]
+        self.highest = np.concatenate([m for _, m in blocks])[order]
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+        self.blocks = len(blocks)
+
+    def bounds(self, terms: np.ndarray) -> np.ndarray:
+        """For each block the sum of the terms' maxima."""
+        at = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in terms] or [np.zeros(0, np.int64)])
+        return np.bincount(self.block[at], self.highest[at], self.blocks).astype(np.int64)
+
+
+def top(terms: np.ndarray, maxima: Maxima, forward: list[tuple[np.ndarray, ...]], wanted: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, id) of one shard for one query; blocks that were scored.
 
-    ``forward``: per block the ids, and the document, term and impact of each posting.
+    ``forward``: per block the ids, and the document, term and impact of each
+    posting; ``wanted``: a flag for each term, all off, lent for the call.
     """
-    bound = maxima[:, terms].sum(1)
+    bound = maxima.bounds(terms)
     order = np.argsort(-bound, kind="stable")
-    wanted = np.zeros(maxima.shape[1], bool)
     wanted[terms] = True
     score, ids, kth, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0
     for b in order:
@@ -115,6 +133,7 @@ def top(terms: np.ndarray, maxima: np.ndarray, forward: list[tuple[np.ndarray, .
                 best = np.lexsort((ids, -score))[:k]
                 score, ids = score[best], ids[best]
                 kth = int(score[-1])
+    wanted[terms] = False
     best = np.lexsort((ids, -score))[:k]
     return list(zip(score[best].tolist(), ids[best].tolist(), strict=True)), seen
 
@@ -159,16 +178,16 @@ def _search_chunk(spark, docs: DataFrame, queries: Queries, k: int, block: int)
                 ids, length, first, term, tf = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in range(5))
                 doc = np.repeat(np.arange(len(ids)), np.diff(first))
                 impact = impacts(tf.astype(np.int64), length.astype(np.int64)[doc], df[term], n, average)
-                m = np.zeros(len(df), np.int32)
-                np.maximum.at(m, term, impact.astype(np.int32))
-                maxima.append(m)
+                by = np.argsort(term, kind="stable")
+                own, head = np.unique(term[by], return_index=True)
+                maxima.append((own, np.maximum.reduceat(impact[by], head) if len(own) else impact))
                 forward.append((ids, doc.astype(np.int32), term, impact))
         if not forward:
             return
-        maxima = np.stack(maxima)
+        highest, wanted = Maxima(maxima, len(df)), np.zeros(len(df), bool)
         rows: tuple[list, list, list] = ([], [], [])
         for item, terms in zip(q.ids, q.terms, strict=True):
-            for points, doc in top(terms, maxima, forward, k)[0]:
+            for points, doc in top(terms, highest, forward, wanted, k)[0]:
                 for c, v in zip(rows, (item, doc, points), strict=True):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["item_id", "doc_id", "points"])

@@ -49,9 +49,9 @@ def test_search_equals_brute_force(spark, rng, english):
 
 def test_blocks_are_pruned():
     # one block holds the rare term: the others' bounds fall below the k-th score
-    maxima = np.array([[90, 1], [2, 1], [1, 1]], np.int32)
+    maxima = topk_search.Maxima([(np.array([0, 1]), np.array(m)) for m in ([90, 1], [2, 1], [1, 1])], 2)
     forward = [(np.array([b * 2, b * 2 + 1]), np.array([0, 0, 1]), np.array([0, 1, 0]), np.array([90, 1, 80]) if b == 0 else np.array([1, 1, 1])) for b in range(3)]
-    best, seen = topk_search.top(np.array([0, 1]), maxima, forward, 2)
+    best, seen = topk_search.top(np.array([0, 1]), maxima, forward, np.zeros(2, bool), 2)
     assert best == [(91, 0), (80, 1)] and seen == 1
 
 
@@ -60,7 +60,7 @@ def test_search_on_awkward_tables(spark, awkward, empty):
     docs = [(r.doc_id, r.text) for r in awkward.collect()]
     want = brute_search(docs, [(r.item_id, r.text) for r in asked.collect()], 10)
     assert sorted(map(tuple, topk_search.search(awkward, asked).collect())) == want
-    assert [r[2] for r in want if r[0] == 5] == [8, 4, 4]
+    assert [r[2] for r in want if r[0] == 5] in ([8, 4, 4], [4, 4, 8])
     assert topk_search.search(empty.selectExpr("*"), asked).count() == 0 and topk_search.search(awkward, asked.limit(0)).count() == 0
 
 
@@ -119,7 +119,7 @@ def brute_lm(corpus, text, a=1.0):
 @pytest.mark.parametrize("shard", [1_000_000, 50])
 def test_scores_equal_brute_force(spark, rng, english, shard):
     corpus = [sentence(rng, rng.randrange(1, 30), english) for _ in range(60)]
-    texts = [(i, sentence(rng, rng.randrange(1, 12), [*english, "unseen"])) for i in range(15)] + [(99, corpus[3])]
+    texts = [(i, sentence(rng, rng.randrange(1, 12), [*english, "unseen"])) for i in range(15)] + [(99, max(corpus, key=len))]
     got = {r.item_id: r for r in suffix_lm.score(spark.createDataFrame([(t,) for t in corpus], "text string").repartition(3), spark.createDataFrame(texts, "item_id long, text string"), shard_words=shard, text_words=10).collect()}
     split_ = [split(t) for t in corpus]
     for i, t in texts:
