@@ -32,7 +32,7 @@ def doc_hash(doc_id: Column, salt: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None, default_weight: int = 1, percents: tuple[int, ...] = (25, 50, 100), bits: int = 15, salt: str = "mix") -> DataFrame:
+def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None, default_weight: int = 1, percents: tuple[int, ...] = (25, 50, 100), bits: tuple[int, ...] = (15, 45), salt: str = "mix") -> DataFrame:
     """(source, percent, budget, threshold) for every source and budget.
 
     ``weights`` are whole numbers, ``default_weight`` holds for sources not
@@ -40,12 +40,16 @@ def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None,
     with any token has at least T * w tokens; the budget of a source is
     T * w * percent / 100, rounded down.  Documents with a hash below the
     threshold fit the budget; documents of one hash (repeated rows) go together.
+    ``bits``: the widths of the histograms, 60 together.  The second one holds
+    1 / 32,768 of a source's documents, still summed by hash.
     """
+    if sum(bits) != HASH_BITS:
+        raise ValueError("bits must sum to 60")
     compact = store.write(docs.select(F.col("source").cast("string").alias("s"), doc_hash(F.col("doc_id"), salt).alias("h"), token_count(F.col("text")).alias("n")), "mix")
     weight = F.lit(default_weight)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("s").eqNullSafe(F.lit(name)), F.lit(int(w))).otherwise(weight)
-    shift = HASH_BITS - bits
+    shift = HASH_BITS - bits[0]
     top = store.write(compact.groupBy("s", F.shiftright("h", shift).alias("b")).agg(F.sum("n").alias("n")), "mix-histogram")
     totals = top.groupBy("s").agg(F.sum("n").alias("have")).withColumn("w", weight.cast("long")).where("w > 0 and have > 0")
     unit = totals.agg(F.min(F.expr("have div w")).alias("unit"))
@@ -54,10 +58,9 @@ def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None,
     state = store.write(budgets.withColumns({"used": F.lit(0).cast("long"), "prefix": F.lit(0).cast("long"), "open": F.lit(True)}), "mix-state")
     level = top
     order = Window.partitionBy("s", "percent").orderBy("b")
-    while True:
-        side = state.withColumnRenamed("s", "s_")
-        open_ = store.broadcast_if_small(side.where("open").select("s_", "percent", "budget", "used", "prefix"), 64)
-        here = F.shiftright("b", bits) == F.col("prefix")
+    for width, following in zip(bits, (*bits[1:], 0), strict=True):
+        open_ = store.broadcast_if_small(state.where("open").select(F.col("s").alias("s_"), "percent", "budget", "used", "prefix"), 64)
+        here = F.shiftright("b", width) == F.col("prefix")
         cum = level.join(open_, F.col("s").eqNullSafe(F.col("s_")) & here).withColumn("cum", F.col("used") + F.sum("n").over(order))
         over = cum.where("cum > budget").groupBy("s", "percent").agg(F.min_by(F.struct("b", (F.col("cum") - F.col("n")).alias("used")), "b").alias("at"))
         over = over.select(F.col("s").alias("s_"), F.col("percent").alias("percent_"), "at")
@@ -65,15 +68,11 @@ def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None,
         state = store.write(
             joined.select("s", "percent", "budget", F.coalesce("at.used", "used").alias("used"), F.coalesce("at.b", "prefix").alias("prefix"), (F.col("open") & F.col("at").isNotNull()).alias("open")), "mix-state"
         )
-        if shift == 0:
-            break
-        # the boundary bucket alone is split by the next bits
-        shift, width = max(0, shift - bits), min(bits, shift)
-        if width < bits:
-            raise ValueError("bits must divide 60")
-        wanted = store.broadcast_if_small(state.where("open").select(F.col("s").alias("s_"), F.col("prefix").alias("p_")).distinct(), 32)
-        inside = compact.join(wanted, F.col("s").eqNullSafe(F.col("s_")) & (F.shiftright("h", shift + bits) == F.col("p_")), "left_semi")
-        level = inside.groupBy("s", F.shiftright("h", shift).alias("b")).agg(F.sum("n").alias("n"))
+        if following:  # the boundary buckets alone are split by the next bits
+            wanted = store.broadcast_if_small(state.where("open").select(F.col("s").alias("s_"), F.col("prefix").alias("p_")).distinct(), 32)
+            inside = compact.join(wanted, F.col("s").eqNullSafe(F.col("s_")) & (F.shiftright("h", shift) == F.col("p_")), "left_semi")
+            shift -= following
+            level = inside.groupBy("s", F.shiftright("h", shift).alias("b")).agg(F.sum("n").alias("n"))
     return state.select(F.col("s").alias("source"), "percent", "budget", F.when(F.col("open"), F.col("prefix")).otherwise(F.lit(END)).alias("threshold"))
 
 
