@@ -282,3 +282,10 @@ def test_random_trees(spark, nodes):
     where = fold(tuple(nodes), lambda c: predicate(c, F.col(c.field), types[c.field]))
     got = {r.i for r in df.where(where).select("i").collect()}
     assert got == {r[0] for r in ROWS if _fold(nodes, r) is True}
+
+
+def test_composite_keys_do_not_collide(spark):
+    rows = spark.createDataFrame([("a|b", "c", 1), ("a", "b|c", 1), ("a", "b|c", 2)], "k1 string, k2 string, v int")
+    kids = spark.createDataFrame([("a|b", 1), ("a|b", 2), ("a", 3)], "k1 string, kid int")
+    engine = Engine(Catalog(Entity("e", rows.where("v = 1"), ("k1", "k2"), (to_many("kids", "k", ("k1", "k1")),)), Entity("k", kids, ("kid",))), "e")
+    assert engine.count(search().where(lambda w: w.greater_than("kids.kid", 0).or_equals("v", 9)).build()) == 2
