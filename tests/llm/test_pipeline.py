@@ -16,26 +16,25 @@ def test_registered():
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
-def test_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns, sizes, kept = docs.columns, [docs.count()], []
-    for name, stage in corpus_pipeline.STAGES:
-        out = store.write(stage(spark, docs, DATA), "test")
-        if name != "best-fit packing":
-            assert out.columns == columns
-            ids = {r.doc_id for r in out.select("doc_id").collect()}
-            assert ids <= {r.doc_id for r in docs.select("doc_id").collect()}
-            sizes.append(len(ids))
-        kept.append(out)
-        docs = out
-    assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[0]
+def test_stages(spark, monkeypatch):
+    given = []
+
+    def watched(stage):
+        def run(session, docs, folder):
+            given.append(docs)
+            return stage(session, docs, folder)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(f)) for n, f in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, DATA).collect()
+    assert all(d.columns == given[0].columns for d in given)
+    kept = [{r.doc_id for r in d.select("doc_id").collect()} for d in given]
+    assert len(kept[0]) == given[0].count() and all(b <= a for a, b in zip(kept, kept[1:], strict=False)) and len(kept[4]) < len(kept[3]) < len(kept[2]) < len(kept[1])
+    # every labelled document that is bad goes and every good one stays
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    good = {r.doc_id for r in kept[0].collect()}
-    passed = {r.doc_id for r in kept[1].collect()}
-    assert not [i for i in passed if labels.get(i) == 0] and not [i for i, q in labels.items() if q == 1 and i in good - passed]
-    assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].where("length(trim(text)) > 0").collect()}
-    again = corpus_pipeline.run(spark, DATA)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, kept[4].collect()))
+    assert not [i for i in kept[2] if labels.get(i) == 0] and not [i for i, q in labels.items() if q == 1 and i in kept[1] - kept[2]]
+    assert {r.doc_id for r in packed} == {r.doc_id for r in given[4].where("length(trim(text)) > 0").collect()}
 
 
 def test_shared_folder_is_read_from_the_session(spark, tmp_path):
