@@ -58,7 +58,7 @@ class Engine:
         self.entity = catalog.entity(entity)
         self.keys = catalog.keys(entity)
 
-    # --- compiling ---------------------------------------------------------
+    # compiling
 
     def _one(self, joined: Joined):
         def one(c: Condition) -> Column:
@@ -121,7 +121,7 @@ class Engine:
     def _on_keys(self) -> list[Column]:
         return [F.col(k) == F.col(f"__pk{i}") for i, k in enumerate(self.keys)]
 
-    # --- pages ---------------------------------------------------------------
+    # pages
 
     def _checked(self, request: Search) -> Search:
         if self.schema:
@@ -190,7 +190,7 @@ class Engine:
                 at = at.setdefault(part, {})
         return _attach(self.catalog, self.name, rows, tree, size)
 
-    # --- terminals -------------------------------------------------------------
+    # terminals
 
     def count(self, request: Search) -> int:
         """Distinct matching roots, whatever the page."""
@@ -254,7 +254,7 @@ class Engine:
             new[name] = F.when(hit, literal(coerce(value, of_spark(kind), self.zone), kind)).otherwise(F.col(f"`{name}`"))
         return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in self.entity.df.columns])
 
-    # --- time buckets ----------------------------------------------------------
+    # time buckets
 
     def buckets(self, request: Search, axis: str, start: dt.datetime, end: dt.datetime, number: int) -> DataFrame:
         """(bucket, n): matching roots in ``number`` equal parts of [start, end),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,4 +26,4 @@ def json_text(value: Column) -> Column:
 
 def like_escape(text: str) -> str:
     """A text with \\, % and _ taken literally by LIKE ... ESCAPE '\\'."""
-    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return re.sub(r"([\\%_])", r"\\\1", text)

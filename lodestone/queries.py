@@ -82,7 +82,7 @@ def _one_row(spark: SparkSession, name: str, value, kind: str = "long") -> DataF
     return spark.createDataFrame([(value,)], f"{name} {kind}")
 
 
-# --- comparison operators -----------------------------------------------------------
+# comparison operators
 
 _rows("op_equals", _w(lambda w: w.equals("status", "F")), "o_orderstatus = 'F'")
 _rows("op_not_equals", _w(lambda w: w.not_equals("priority", "1-URGENT")), "o_orderpriority <> '1-URGENT'")
@@ -103,7 +103,7 @@ _rows("op_not_in", _w(lambda w: w.not_in("segment", ["BUILDING", "MACHINERY"])),
 _rows("op_between", _w(lambda w: w.between("date", "1995-01-01", "1995-06-30")), "o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30 23:59:59.999999'")
 _rows("op_not_between", _w(lambda w: w.not_between("price", 20000.0, 400000.0)), "NOT (o_totalprice BETWEEN 20000 AND 400000)")
 
-# --- logic ------------------------------------------------------------------------------
+# logic
 
 _rows("bool_and", _w(lambda w: w.equals("status", "O").greater_than("price", 300000.0)), "o_orderstatus = 'O' AND o_totalprice > 300000")
 _rows("bool_or", _w(lambda w: w.equals("status", "P").or_greater_than("price", 400000.0)), "o_orderstatus = 'P' OR o_totalprice > 400000")
@@ -112,10 +112,10 @@ _rows("bool_group", _w(lambda w: w.equals("status", "F").and_(lambda g: g.less_t
 _rows("bool_or_flat", _w(lambda w: w.equals("id", 1).or_equals("id", 2).or_between("id", 10, 20).or_in_("id", [30, 31]).or_less_than("price", 2000.0).or_is_null("line")), "o_orderkey IN (1, 2, 30, 31) OR o_orderkey BETWEEN 10 AND 20 OR o_totalprice < 2000 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 _rows("bool_not", _w(lambda w: w.not_in("status", ["O", "F"]).not_contains("priority", "LOW")), "NOT (o_orderstatus IN ('O', 'F')) AND NOT contains(o_orderpriority, 'LOW')")
 
-# --- scans, sources, sinks -----------------------------------------------------------------
+# scans, sources, sinks
 
 _add("scan_entity", lambda s, d: _engine(s, d).matches(Search()).select(*_ORDER.split(", ")), f"SELECT {_ORDER} FROM orders")
-_JSON = '{"conditions": [{"field": "status", "searchOperator": "equals", "value": "O"}, {"operator": "or", "conditions": [{"field": "price", "searchOperator": "greaterThan", "value": 350000}]}, {"operator": "and", "field": "priority", "searchOperator": "in", "value": ["1-URGENT", "3-MEDIUM"]}]}'
+_JSON = '{"conditions": [{"searchOperator": "equals", "field": "status", "value": "O"}, {"conditions": [{"searchOperator": "greaterThan", "field": "price", "value": 350000}], "operator": "or"}, {"operator": "and", "searchOperator": "in", "field": "priority", "value": ["1-URGENT", "3-MEDIUM"]}]}'
 _JSON_WHERE = "(o_orderstatus = 'O' OR o_totalprice > 350000) AND o_orderpriority IN ('1-URGENT', '3-MEDIUM')"
 _rows("source_json", lambda: from_json(_JSON, ORDERS), _JSON_WHERE)
 _rows("sink_json", lambda: from_json(to_json(from_json(_JSON, ORDERS)), ORDERS), _JSON_WHERE)
@@ -126,7 +126,7 @@ _page(
 )
 _rows("source_builder", lambda: search(ORDERS).where(lambda w: w.equals("status", "F")).or_(lambda g: g.equals("status", "P").greater_than("price", 250000.0)).build(), "(o_orderstatus = 'F' OR o_orderstatus = 'P') AND o_totalprice > 250000")
 
-# --- projections and names ---------------------------------------------------------------------
+# projections and names
 
 _rows("field_resolve", _w(lambda w: w.equals("region", "ASIA").equals("status", "O")), "o_orderstatus = 'O' AND r_name = 'ASIA'", source="orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 _page("sort_resolve", lambda: search(ORDERS).where(lambda w: w.equals("status", "F")).sort(lambda s: s.desc("customerName")).page(0).size(30).build(), f"SELECT {_ORDER} FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey DESC NULLS LAST, o_orderkey LIMIT 30")
@@ -138,7 +138,7 @@ _add(
 _add("project_pk", lambda s, d: _engine(s, d).matched_keys(_w(lambda w: w.equals("returnFlag", "R").or_equals("status", "P"))()).select(F.col("__pk0").alias("o_orderkey")), "SELECT DISTINCT o_orderkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' OR o_orderstatus = 'P'")
 _rows("distinct_root", _w(lambda w: w.greater_than("quantity", 45.0).or_less_than("price", 3000.0)), "o_totalprice < 3000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 
-# --- joins -----------------------------------------------------------------------------------------
+# joins
 
 _rows("join_to_one", _w(lambda w: w.equals("segment", "AUTOMOBILE")), "c_mktsegment = 'AUTOMOBILE'", source="orders JOIN customer ON o_custkey = c_custkey")
 _rows("join_to_one_chain", _w(lambda w: w.in_("region", ["EUROPE", "AFRICA"]).greater_than("price", 200000.0)), "r_name IN ('EUROPE', 'AFRICA') AND o_totalprice > 200000", source="orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -180,7 +180,7 @@ _page(
     "conversations",
 )
 
-# --- counts ---------------------------------------------------------------------------------------------
+# counts
 
 _add("agg_count", lambda s, d: _one_row(s, "n", _engine(s, d).count(_w(lambda w: w.greater_than("price", 100000.0))())), "SELECT count(*) AS n FROM orders WHERE o_totalprice > 100000")
 _add("agg_count_distinct_pk", lambda s, d: _one_row(s, "n", _engine(s, d).count(_w(lambda w: w.greater_than("quantity", 30.0).or_equals("status", "P"))())), "SELECT count(DISTINCT o_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 30 OR o_orderstatus = 'P'")
@@ -212,7 +212,7 @@ _add(
     "SELECT b.range AS bucket, coalesce(n, 0) AS n FROM range(24) b LEFT JOIN (SELECT (((epoch_us(o_orderdate) // 1000) - epoch_ms(TIMESTAMP '1995-01-01')) * 24) // (epoch_ms(TIMESTAMP '1997-01-01') - epoch_ms(TIMESTAMP '1995-01-01')) AS bucket, count(DISTINCT o_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE (l_quantity > 40 OR o_orderstatus = 'P') AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1) c ON c.bucket = b.range",
 )
 
-# --- sorts and pages -----------------------------------------------------------------------------------------
+# sorts and pages
 
 _page("sort_multi", lambda: search(ORDERS).sort(lambda s: s.asc("priority").desc("price")).page(0).size(100).build(), f"SELECT {_ORDER} FROM orders ORDER BY o_orderpriority NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100")
 _page("sort_pk_tiebreak", lambda: search(ORDERS).sort(lambda s: s.asc("status")).page(3).size(25).build(), f"SELECT {_ORDER} FROM orders ORDER BY o_orderstatus NULLS FIRST, o_orderkey LIMIT 25 OFFSET 75")
@@ -232,13 +232,13 @@ _add(
     "SELECT row_number() OVER (ORDER BY q DESC NULLS LAST, o_orderkey) - 1 AS position, o_orderkey FROM (SELECT o_orderkey, max(l_quantity) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' OR o_orderstatus = 'P' GROUP BY o_orderkey) ORDER BY position LIMIT 30",
 )
 
-# --- functions ------------------------------------------------------------------------------------------------
+# functions
 
 _add("fn_epoch_millis", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "SELECT event_id, (epoch_us(ts) // 1000) AS ms FROM events")
 _rows("fn_json_as_text", _plain(lambda w: w.contains("props", '"k": 6').ends_with("props", "}")), "contains(props, '\"k\": 6') AND suffix(props, '}')", "events", "event_id, props")
 _rows("fn_like_escape", _plain(lambda w: w.contains("p_brand", "#1_").or_contains("p_brand", "%").or_contains("p_brand", "#3")), "p_brand LIKE '%#1\\_%' ESCAPE '\\' OR p_brand LIKE '%\\%%' ESCAPE '\\' OR p_brand LIKE '%#3%'", "part", "p_partkey, p_brand")
 
-# --- terminals ---------------------------------------------------------------------------------------------------
+# terminals
 
 _page("find_all", lambda: search(ORDERS).where(lambda w: w.equals("segment", "BUILDING").greater_than("price", 200000.0)).sort(lambda s: s.desc("date")).page(0).size(20).build(), f"SELECT {_ORDER} FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 200000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 _add("find_all_projected", lambda s, d: _engine(s, d).find_all_projected(search(ORDERS).where(lambda w: w.equals("status", "F")).page(1).size(10).build(), ["o_orderkey", "o_totalprice"]).content, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 10 OFFSET 10")
@@ -253,15 +253,15 @@ _add("update", lambda s, d: _engine(s, d).update(_w(lambda w: w.equals("segment"
 _add("sink_update", lambda s, d: _engine(s, d).update(_w(lambda w: w.greater_than("price", 150000.0))(), {"o_totalprice": "0"}).groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice") == 0).alias("n")), "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 150000) AS n FROM orders GROUP BY 1")
 _add("update_map_dto", lambda s, d: _engine(s, d, "documents").update(_plain(lambda w: w.is_null("label.quality"))(), type("Payload", (), {"__init__": lambda self: setattr(self, "lang", "xx")})()).select("doc_id", "lang"), "SELECT documents.doc_id, CASE WHEN labels.doc_id IS NULL THEN 'xx' ELSE lang END AS lang FROM documents LEFT JOIN labels USING (doc_id)")
 
-# --- requests ------------------------------------------------------------------------------------------------------
+# requests
 
 _rows("ir_and_or_top", lambda: search(ORDERS).where(lambda w: w.equals("status", "P")).and_(lambda g: g.less_than("price", 50000.0).or_greater_than("price", 300000.0)).build(), "(o_orderstatus = 'P' AND o_totalprice < 50000) OR o_totalprice > 300000")
 _rows("ir_and_or_chained", lambda: search(ORDERS).where(lambda w: w.equals("status", "P")).page(0).size(5).and_(lambda g: g.less_than("price", 50000.0).or_greater_than("price", 300000.0)).build(), "o_orderstatus = 'P' AND (o_totalprice < 50000 OR o_totalprice > 300000)")
 _rows("ir_params_split", lambda: from_params({"priority.in": "1-URGENT,5-LOW", "price.notBetween": "10000,300000", "status.notEquals": "P"}, ORDERS), "o_orderpriority IN ('1-URGENT', '5-LOW') AND NOT (o_totalprice BETWEEN 10000 AND 300000) AND o_orderstatus <> 'P'")
-_rows("ir_json_group_flatten", lambda: from_json('{"conditions": [{"field": "status", "searchOperator": "equals", "value": "P"}, {"operator": "or", "conditions": [{"operator": "or", "conditions": [{"field": "price", "searchOperator": "lessThan", "value": "5000"}]}]}]}', ORDERS), "o_orderstatus = 'P' OR o_totalprice < 5000")
+_rows("ir_json_group_flatten", lambda: from_json('{"conditions": [{"searchOperator": "equals", "field": "status", "value": "P"}, {"conditions": [{"conditions": [{"searchOperator": "lessThan", "field": "price", "value": "5000"}], "operator": "or"}], "operator": "or"}]}', ORDERS), "o_orderstatus = 'P' OR o_totalprice < 5000")
 
 
-# --- values, requests, checks, documentation: what the driver computes, as rows -------------------------------------
+# values, requests, checks, documentation: what the driver computes, as rows
 
 
 def _facts(name: str, columns: str, rows: Callable[[], list[tuple]], sql_rows: list[tuple]) -> None:
@@ -313,7 +313,7 @@ _rows("ir_from", lambda: from_search(_w(lambda w: w.equals("status", "O"))(), OR
 _page("ir_sort", lambda: search(ORDERS).sort(lambda s: s.asc("price")).sort(lambda s: s.desc("id")).build(), f"SELECT {_ORDER} FROM orders ORDER BY o_orderkey DESC LIMIT 20")
 _page("ir_page_size", lambda: search(ORDERS).page(2).size(7).build(), f"SELECT {_ORDER} FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 14")
 _add("ir_fetch_fields", lambda s, d: _engine(s, d).find_all(search(ORDERS).page(0).size(5).fetch_fields("customer").build()).content.select("o_orderkey", F.col("customer.c_name").alias("c_name")), "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 5")
-_rows("ir_json_values", lambda: from_json('{"conditions": [{"field": "id", "searchOperator": "in", "value": [1, "2", 3]}]}', ORDERS), "o_orderkey IN (1, 2, 3)")
+_rows("ir_json_values", lambda: from_json('{"conditions": [{"searchOperator": "in", "field": "id", "value": [1, "2", 3]}]}', ORDERS), "o_orderkey IN (1, 2, 3)")
 _page("ir_params_grammar", lambda: from_params({"status.equals": "P", "price.lessThan": "90000", "sort": "priority.asc,price.desc", "page": "0", "size": "10"}, ORDERS), f"SELECT {_ORDER} FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 90000 ORDER BY o_orderpriority NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10")
 
 _CHECKED = SearchSchema("checked", (typed("n", "int", None, Op.EQUALS, Op.BETWEEN, Op.IN, Op.IS_NULL, minimum=0), text("s", None, min_length=2, max_length=4), typed("j", "json")))
@@ -355,7 +355,7 @@ def _rejected(text_: str) -> str:
     return "ok"
 
 
-_facts("val_json_shape", "body string, outcome string", lambda: [(b, _rejected(b)) for b in ('{"conditions": {}}', '{"conditions": [{"field": "n"}]}', '{"conditions": [{"searchOperator": "equals"}]}', '{"conditions": [{"field": "n", "searchOperator": "like"}]}', "{}")], [('{"conditions": {}}', "json.conditions"), ('{"conditions": [{"field": "n"}]}', "json.operator"), ('{"conditions": [{"searchOperator": "equals"}]}', "json.field"), ('{"conditions": [{"field": "n", "searchOperator": "like"}]}', "operator.unknown"), ("{}", "ok")])
+_facts("val_json_shape", "body string, outcome string", lambda: [(b, _rejected(b)) for b in ('{"conditions": {}}', '{"conditions": [{"field": "n"}]}', '{"conditions": [{"searchOperator": "equals"}]}', '{"conditions": [{"searchOperator": "like", "field": "n"}]}', "{}")], [('{"conditions": {}}', "json.conditions"), ('{"conditions": [{"field": "n"}]}', "json.operator"), ('{"conditions": [{"searchOperator": "equals"}]}', "json.field"), ('{"conditions": [{"searchOperator": "like", "field": "n"}]}', "operator.unknown"), ("{}", "ok")])
 _facts("err_hierarchy", "name string, is_search_error boolean", lambda: [(k.__name__, issubclass(k, SearchError)) for k in (errors.SearchConfigurationError, errors.SearchValidationError, errors.SearchOperationError, errors.SearchJoinError, errors.SearchParseError)], [(f"Search{k}Error", True) for k in ("Configuration", "Validation", "Operation", "Join", "Parse")])
 
 

@@ -120,21 +120,21 @@ def test_json_round_trip():
 
 
 def test_json_single_child_group_keeps_its_logic():
-    text_ = '{"conditions": [{"field": "id", "searchOperator": "equals", "value": 1}, {"operator": "or", "conditions": [{"field": "id", "searchOperator": "equals", "value": 2}]}]}'
+    text_ = '{"conditions": [{"searchOperator": "equals", "field": "id", "value": 1}, {"conditions": [{"searchOperator": "equals", "field": "id", "value": 2}], "operator": "or"}]}'
     group = from_json(text_, POSTS).nodes[1]
     assert isinstance(group, Group) and group.logic is Logic.OR and len(group.nodes) == 1
 
 
 def test_json_cannot_name_a_path():
-    node = from_json('{"conditions": [{"field": "author", "searchOperator": "equals", "value": "x", "entityField": "secret"}]}', POSTS).nodes[0]
+    node = from_json('{"conditions": [{"searchOperator": "equals", "field": "author", "value": "x", "entityField": "secret"}]}', POSTS).nodes[0]
     assert node.target == "author.name"
 
 
 @pytest.mark.parametrize(
     "body",
     [
-        "{", "[]", '{"conditions": {}}', '{"conditions": [{"searchOperator": "equals"}]}', '{"conditions": [{"field": "id"}]}', '{"conditions": [{"field": "id", "searchOperator": "like", "value": 1}]}',
-        '{"conditions": [{"operator": "xor", "field": "id", "searchOperator": "equals", "value": 1}]}', '{"conditions": [{"conditions": []}]}', '{"conditions": [{"conditions": {}}]}', '{"sort": {"orders": [{"field": "id", "direction": "up"}]}}', '{"page": "x", "size": 1}', '{"conditions": [{"field": "id", "searchOperator": "in", "value": 1}]}',
+        "{", "[]", '{"conditions": {}}', '{"conditions": [{"searchOperator": "equals"}]}', '{"conditions": [{"field": "id"}]}', '{"conditions": [{"searchOperator": "like", "field": "id", "value": 1}]}',
+        '{"conditions": [{"operator": "xor", "searchOperator": "equals", "field": "id", "value": 1}]}', '{"conditions": [{"conditions": []}]}', '{"conditions": [{"conditions": {}}]}', '{"sort": {"orders": [{"field": "id", "direction": "up"}]}}', '{"page": "x", "size": 1}', '{"conditions": [{"searchOperator": "in", "field": "id", "value": 1}]}',
     ],
 )
 def test_json_shape(body):
