@@ -134,7 +134,7 @@ def test_json_cannot_name_a_path():
     "body",
     [
         "{", "[]", '{"conditions": {}}', '{"conditions": [{"searchOperator": "equals"}]}', '{"conditions": [{"field": "id"}]}', '{"conditions": [{"searchOperator": "like", "field": "id", "value": 1}]}',
-        '{"conditions": [{"operator": "xor", "searchOperator": "equals", "field": "id", "value": 1}]}', '{"conditions": [{"conditions": []}]}', '{"conditions": [{"conditions": {}}]}', '{"sort": {"orders": [{"field": "id", "direction": "up"}]}}', '{"page": "x", "size": 1}', '{"conditions": [{"searchOperator": "in", "field": "id", "value": 1}]}',
+        '{"conditions": [{"operator": "xor", "searchOperator": "equals", "field": "id", "value": 1}]}', '{"conditions": [{"conditions": []}]}', '{"conditions": [{"conditions": {}}]}', '{"sort": {"orders": [{"direction": "up", "field": "id"}]}}', '{"page": "x", "size": 1}', '{"conditions": [{"searchOperator": "in", "field": "id", "value": 1}]}',
     ],
 )
 def test_json_shape(body):
@@ -143,7 +143,7 @@ def test_json_shape(body):
 
 
 def test_json_sort_is_mapped():
-    assert from_json('{"sort": {"orders": [{"field": "views", "direction": "desc"}]}}', POSTS).sort[0].target == "rank.views"
+    assert from_json('{"sort": {"orders": [{"direction": "desc", "field": "views"}]}}', POSTS).sort[0].target == "rank.views"
 
 
 def test_params():
@@ -185,7 +185,7 @@ def test_single_values_of_urls_are_normalised_and_others_are_not():
 
 
 def test_a_missing_direction_means_ascending():
-    assert from_json('{"sort": {"orders": [{"field": "id", "direction": null}, {"field": "title"}]}}', POSTS).sort[0].ascending
+    assert from_json('{"sort": {"orders": [{"direction": null, "field": "id"}, {"field": "title"}]}}', POSTS).sort[0].ascending
 
 
 def test_no_operators_means_all():
