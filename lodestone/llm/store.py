@@ -6,6 +6,7 @@ files again instead of recomputing what led to them.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,19 @@ def clear(spark: SparkSession) -> None:
         system.delete(path, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a *written* table that nothing will read again, and lets the JVM
+    clear the shuffles that only it had needed."""
+    spark = df.sparkSession
+    for path in list(_written):
+        if any(f"/{path.rpartition('/')[2]}/" in f for f in df.inputFiles()):
+            _written.remove(path)
+            system, where = _files(spark, path)
+            system.delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _files(spark: SparkSession, path: str):
     """The path and its file system, as the JVM's objects."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

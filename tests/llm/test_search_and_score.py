@@ -134,3 +134,34 @@ def test_scores_on_awkward_tables(spark, awkward, empty):
     assert len(rows) == 5 and sum(r[0] == 1 for r in rows) == 2 and [r for r in rows if r[0] == 4] == [(4, 0, 0.0, None, None, None)]
     assert all(r.log_prob is None for r in suffix_lm.score(empty, texts).where("words > 0").collect())
     assert suffix_lm.score(awkward, texts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "bucket"), [(250_000, 2_000_000), (40, 30)])
+def test_documents_are_scored_under_all_others(spark, rng, english, chunk, bucket):
+    docs = [sentence(rng, rng.randrange(1, 60), english[:9]) for _ in range(30)]
+    long = sentence(rng, 90, english)
+    docs += [long, long, "new " + long, " ".join(long.split()[5:70]) + " unseen words", "the " * 12, "the " * 40, "", None, "one"]
+    rows = list(enumerate(docs))
+    table = spark.createDataFrame([*rows, (None, "the of the of")], "item_id long, text string").repartition(3)
+    got = {r.item_id: r for r in suffix_lm.score_documents(table, chunk_words=chunk, bucket_words=bucket).collect()}
+    assert len(got) == len(docs) + 1
+    corpus = [split(t or "") for t in [*docs, "the of the of"]]
+    for i, t in [(k, t or "") for k, t in rows] + [(None, "the of the of")]:
+        k = len(docs) if i is None else i
+        log, longest = brute_lm(corpus[:k] + corpus[k + 1 :], split(t)) if t else (0.0, None)
+        assert math.isclose(got[i].log_prob, log, rel_tol=1e-9) and got[i].longest_context == longest and got[i].words == len(split(t))
+
+
+def test_query_scores_documents(spark):
+    from lodestone.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = queries.op7_suffix_lm(spark, folder)
+    assert got.where("scored = 'documents'").count() == queries.table(spark, folder, "documents").count()
+
+
+def test_documents_alone_have_no_scores(spark, awkward, empty):
+    assert suffix_lm.score_documents(empty.withColumnRenamed("doc_id", "item_id")).count() == 0
+    alone = suffix_lm.score_documents(spark.createDataFrame([(1, "a b"), (2, None)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, alone)) == [(1, 2, None, None, None, None), (2, 0, 0.0, None, None, None)]
+    assert suffix_lm.score_documents(awkward.withColumnRenamed("doc_id", "item_id")).count() == awkward.count()
