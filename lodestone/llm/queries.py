@@ -42,6 +42,24 @@ SELECT r.id, n.doc_id, 1.0 FROM n JOIN r USING (s) WHERE n.doc_id <> r.id
 """
 
 
+def op2_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join over all documents, copies included."""
+    return jaccard_join.all_pairs(table(spark, sf_dir, "documents"))
+
+
+OP2_PAIRS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '([0-9a-z]|[^\x00-\x7F])+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)
+SELECT a AS doc_a, b AS doc_b, o / (na.n + nb.n - o) AS jaccard
+FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE o >= 0.6 * (na.n + nb.n - o) - 1e-9
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -123,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op6_source_mix": OP6_SQL, "op9_block_topk": OP9_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op2_ngram_jaccard_pairs": OP2_PAIRS_SQL, "op6_source_mix": OP6_SQL, "op9_block_topk": OP9_SQL}
