@@ -123,6 +123,20 @@ def test_url_filter(spark, rng):
     assert not (model.score(["http://casin0s-win.example.com/a", "http://bet-now.example.com/"]) >= model.threshold).any()
 
 
+def test_repeated_urls_fill_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import sample
+
+    rejected = spark.range(400_000).select(F.concat(F.lit("http://casino.com/"), F.col("id") % 200).alias("url"), F.lit("rejected").alias("label"))
+    accepted = spark.range(3000).select(F.concat(F.lit("http://stone.com/"), F.col("id")).alias("url"), F.lit("accepted").alias("label"))
+    rows = sample.per_label(rejected.unionByName(accepted), "label", "url", 100, distinct=True)
+    assert len({r["url"] for r in rows}) == len(rows) == 200 and sum(r["label"] == "rejected" for r in rows) == 100
+    few = sample.per_label(rejected, "label", "url", 1000, distinct=True)
+    assert len(few) == 200
+    assert url_filter.fit(rejected.unionByName(accepted), per_label=100) is not None
+
+
 def test_url_filter_on_awkward_tables(spark):
     pages = spark.createDataFrame([(1, None, "x"), (None, "http://a.com/", "y"), (2, "", None), (3, "no scheme", "z"), (3, "no scheme", "z"), (4, "http://" + "x" * 100_000, "q")], "page_id long, url string, score string")
     model = url_filter.fit(spark.createDataFrame([("http://good.com/a", "accepted"), ("http://bad.com/b", "rejected"), (None, None)], "url string, label string"))
