@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sample
+from . import sample, store
 from .textkit import buffers, hash_spans, pieces, spans
 
 SCHEMA = "doc_id long, quality double, lines long, good_lines long, accepted boolean"
@@ -190,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400, held_out: floa
     good document is the worse error.  None unless both labels occur.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    # the sample is drawn from the narrow labels; only its texts are fetched
+    # the sample is drawn from the narrow labels of documents with a text; only its texts are fetched
+    there = docs.where("length(trim(text)) > 0").select(F.col("doc_id").cast("long").alias("doc_id"))
+    marks = store.write(marks.withColumn("doc_id", F.col("doc_id").cast("long")).join(there, "doc_id", "left_semi"), "quality-labels")
     chosen = sample.per_label(marks, "quality", "doc_id", per_label)
     if len({r["quality"] for r in chosen}) < 2:
         return None

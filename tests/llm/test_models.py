@@ -194,6 +194,13 @@ def test_quality(spark, good_and_bad, english, rng):
     assert kept.columns == docs.columns and abs(kept.count() - 200) <= 3
 
 
+def test_labels_of_missing_documents_take_no_place(spark, good_and_bad):
+    docs, labels, _ = good_and_bad
+    missing = spark.range(10_000, 30_000).selectExpr("id as doc_id", "cast(id % 2 as long) as quality", "0L as toxic")
+    model, same = (quality_crf.fit(docs, x, per_label=60) for x in (labels, labels.unionByName(missing)))
+    assert same is not None and same.threshold == model.threshold and (same.weights == model.weights).all()
+
+
 def test_quality_on_awkward_tables(awkward, empty, good_and_bad, spark):
     docs, labels, _ = good_and_bad
     model = quality_crf.fit(docs, labels, per_label=60)
