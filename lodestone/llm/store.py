@@ -32,12 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 def write(df: DataFrame, name: str) -> DataFrame:
     """Writes the table to the shared folder and returns it reread."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = _new(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_parts(df: DataFrame, name: str, by: str, *values: str) -> list[DataFrame]:
+    """Writes the table and returns the parts that have these values in a text
+    column, without that column; each can be dropped on its own."""
+    spark, path = df.sparkSession, _new(df.sparkSession, name)
+    df.write.partitionBy(by).parquet(path)
+    schema, out = df.drop(by).schema, []
+    for v in values:
+        system, where = _files(spark, f"{path}/{by}={v}")
+        out.append(spark.read.schema(schema).parquet(f"{path}/{by}={v}") if system.exists(where) else spark.createDataFrame([], schema))
+    return out
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])  # when the application ends
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _files(spark, path)
+    system.deleteOnExit(where)  # when the application ends
+    return path
 
 
 def clear(spark: SparkSession) -> None:
@@ -48,17 +65,15 @@ def clear(spark: SparkSession) -> None:
         system.delete(path, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a *written* table that nothing will read again, and lets the JVM
-    clear the shuffles that only it had needed."""
-    spark = df.sparkSession
-    for path in list(_written):
-        if any(f"/{path.rpartition('/')[2]}/" in f for f in df.inputFiles()):
-            _written.remove(path)
-            system, where = _files(spark, path)
+def drop(*tables: DataFrame) -> None:
+    """Deletes *written* tables, or parts, that nothing will read again,
+    and lets the JVM clear the shuffles that only they had needed."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            system, where = _files(df.sparkSession, folder)
             system.delete(where, True)
     gc.collect()
-    spark._jvm.System.gc()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def _files(spark: SparkSession, path: str):
