@@ -7,6 +7,7 @@ files again instead of recomputing what led to them.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder on a
+    local master (tests) and an error on a cluster, whose machines would not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _test_folder:
         _test_folder.append(tempfile.mkdtemp(prefix="lodestone-"))
     return _test_folder[0]
@@ -83,6 +87,15 @@ def _files(spark: SparkSession, path: str):
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a *written* table for broadcast when its row count times
-    ``row_bytes`` stays under ``limit``; beyond it the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    """Marks a *written* table for broadcast when its rows at ``row_bytes`` each,
+    and the texts in its columns, stay under ``limit``; beyond it the join shuffles."""
+    texts = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.sum(sum(texts, F.lit(row_bytes)).cast("long"))
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= limit else df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
