@@ -76,8 +76,13 @@ def drop(*tables: DataFrame) -> None:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             system, where = _files(df.sparkSession, folder)
             system.delete(where, True)
+    tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the JVM clear the shuffles of plans that nothing holds any more."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def _files(spark: SparkSession, path: str):
