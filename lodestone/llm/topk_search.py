@@ -4,8 +4,11 @@ Documents are indexed for the words that any query holds: ranges of documents
 form blocks, and each block keeps a forward index (per document its words and
 their counts).  A query orders a shard's blocks by the sum of its words' block
 maxima, scores blocks through their forward index in that order, and stops when
-the next bound is below its k-th score.  Impacts are whole numbers (2^-16), so
-sums, bounds and ties are exact and do not depend on any order of addition.
+the next bound is below its k-th score.  A share of the blocks is searched first:
+the k-th score there bounds every query's k-th score from below, so shards give
+little more than the documents that can still be among the k best.  Impacts are
+whole numbers (2^-16), so sums, bounds and ties are exact and do not depend on
+any order of addition.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from .textkit import pieces, words
 K, K1, B, BLOCK, SCALE = 10, 0.9, 0.4, 32, 65536
 #: Queries handled by one pass over the index; more queries take more passes.
 QUERY_CHUNK = 20_000
+#: Postings of one shard, the blocks that a worker holds at once; one in so many
+#: blocks is searched first.
+SHARD_POSTINGS, SAMPLE = 4_000_000, 16
 
 _INDEX = "ids array<long>, lengths array<int>, first array<int>, terms array<int>, counts array<int>"
 
@@ -109,16 +115,17 @@ class Maxima:
         return np.bincount(self.block[at], self.highest[at], self.blocks).astype(np.int64)
 
 
-def top(terms: np.ndarray, maxima: Maxima, forward: list[tuple[np.ndarray, ...]], wanted: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
+def top(terms: np.ndarray, maxima: Maxima, forward: list[tuple[np.ndarray, ...]], wanted: np.ndarray, k: int, least: int = 1) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, id) of one shard for one query; blocks that were scored.
 
     ``forward``: per block the ids, and the document, term and impact of each
-    posting; ``wanted``: a flag for each term, all off, lent for the call.
+    posting; ``wanted``: a flag for each term, all off, lent for the call;
+    ``least``: lower scores are not among the k best of all shards.
     """
     bound = maxima.bounds(terms)
     order = np.argsort(-bound, kind="stable")
     wanted[terms] = True
-    score, ids, kth, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0
+    score, ids, kth, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), max(1, least), 0
     for b in order:
         if bound[b] < kth:
             break
@@ -132,13 +139,13 @@ def top(terms: np.ndarray, maxima: Maxima, forward: list[tuple[np.ndarray, ...]]
             if len(ids) >= k:
                 best = np.lexsort((ids, -score))[:k]
                 score, ids = score[best], ids[best]
-                kth = int(score[-1])
+                kth = max(kth, int(score[-1]))
     wanted[terms] = False
     best = np.lexsort((ids, -score))[:k]
     return list(zip(score[best].tolist(), ids[best].tolist(), strict=True)), seen
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_chunk: int = QUERY_CHUNK) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_chunk: int = QUERY_CHUNK, shard_postings: int = SHARD_POSTINGS, sample: int = SAMPLE) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` documents of highest score for every query.
 
     Every row of ``queries`` (item_id, text) with an id is a query; rows that
@@ -147,12 +154,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK,
     documents that hold none of a query's words are no result.  Documents
     without id or text are not searched; empty ones count in the average
     length.  Equal scores are ranked by id; a repeated row takes a rank each
-    time.  Other columns are ignored.
+    time.  Very long texts are searched whole; without documents or queries (an
+    empty table) there is no result; other columns are ignored.  What leaves the
+    shards is about k * ``sample`` rows for each query, however many shards there are.
     """
     spark = docs.sparkSession
     asked = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     chunks = max(1, -(-asked.count() // query_chunk))
-    parts = [_search_chunk(spark, docs, Queries(asked.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c).collect()), k, block) for c in range(chunks)]
+    parts = [_search_chunk(spark, docs, Queries(asked.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c).collect()), k, block, shard_postings, sample) for c in range(chunks)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -160,7 +169,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK,
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", (F.col("points") / F.lit(float(SCALE))).alias("score"))
 
 
-def _search_chunk(spark, docs: DataFrame, queries: Queries, k: int, block: int) -> DataFrame:
+def _search_chunk(spark, docs: DataFrame, queries: Queries, k: int, block: int, shard_postings: int, sample: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(queries)
     index = store.write(_index(docs, shared, block), "search-index")
     counts, n, total = _statistics(index)
@@ -169,10 +178,22 @@ def _search_chunk(spark, docs: DataFrame, queries: Queries, k: int, block: int)
         df[t] = c
     average = total / n if n and total else 1.0
     df_shared = spark.sparkContext.broadcast(df)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, df = shared.value, df_shared.value
-        forward, maxima = [], []
+    # part of the blocks first, by the ids in them
+    some = index.where(F.pmod(F.xxhash64("ids"), F.lit(sample)) == 0)
+    best = F.slice(F.sort_array(F.collect_list("points"), asc=False), 1, k)
+    found = _shards(some, shared, df_shared, n, average, k, shard_postings, None).groupBy("item_id").agg(best.alias("best"))
+    least = {r[0]: r[1] for r in found.where(F.size("best") == k).select("item_id", F.element_at("best", k)).collect()}
+    least_shared = spark.sparkContext.broadcast(np.array([least.get(i, 1) for i in queries.ids], np.int64))
+    return _shards(index, shared, df_shared, n, average, k, shard_postings, least_shared)
+
+
+def _shards(index: DataFrame, shared, df_shared, n: int, average: float, k: int, shard_postings: int, least_shared) -> DataFrame:
+    """(item_id, doc_id, points): the k best of each task, no points below the least ones."""
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+        """Blocks and their maxima, about ``shard_postings`` postings at once."""
+        df = df_shared.value
+        forward, maxima, held = [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, length, first, term, tf = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in range(5))
@@ -182,14 +203,27 @@ def _search_chunk(spark, docs: DataFrame, queries: Queries, k: int, block: int)
                 own, head = np.unique(term[by], return_index=True)
                 maxima.append((own, np.maximum.reduceat(impact[by], head) if len(own) else impact))
                 forward.append((ids, doc.astype(np.int32), term, impact))
-        if not forward:
-            return
-        highest, wanted = Maxima(maxima, len(df)), np.zeros(len(df), bool)
-        rows: tuple[list, list, list] = ([], [], [])
-        for item, terms in zip(q.ids, q.terms, strict=True):
-            for points, doc in top(terms, highest, forward, wanted, k)[0]:
-                for c, v in zip(rows, (item, doc, points), strict=True):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["item_id", "doc_id", "points"])
+                held += len(term)
+                if held >= shard_postings:
+                    yield forward, maxima
+                    forward, maxima, held = [], [], 0
+        if forward:
+            yield forward, maxima
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, terms_ = shared.value, len(df_shared.value)
+        least = least_shared.value.tolist() if least_shared else [1] * len(q.ids)
+        best: list[list[tuple[int, int]]] = [[] for _ in q.ids]
+        wanted = np.zeros(terms_, bool)
+        for forward, maxima in shard(batches):
+            highest = Maxima(maxima, terms_)
+            for i, terms in enumerate(q.terms):
+                got = top(terms, highest, forward, wanted, k, least[i])[0]
+                if got:
+                    best[i] = sorted([*best[i], *got], key=lambda r: (-r[0], r[1]))[:k]
+                    if len(best[i]) == k:
+                        least[i] = max(least[i], best[i][-1][0])
+        rows = [(item, doc, points) for item, found in zip(q.ids, best, strict=True) for points, doc in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["item_id", "doc_id", "points"])
 
     return index.mapInArrow(run, "item_id long, doc_id long, points long")

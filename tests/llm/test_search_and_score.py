@@ -47,6 +47,19 @@ def test_search_equals_brute_force(spark, rng, english):
         assert sorted(map(tuple, topk_search.search(*frames, k=5, block=8, query_chunk=chunk).collect())) == want
 
 
+def test_shards_are_bounded_and_give_few_rows(spark, rng, english, monkeypatch):
+    docs = [(i, sentence(rng, rng.randrange(1, 40), english + [f"r{k}" for k in range(80)])) for i in range(1200)]
+    asked = [(q, sentence(rng, 6, english + [f"r{k}" for k in range(90)])) for q in range(15)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(24), spark.createDataFrame(asked, "item_id long, text string")
+    given, plain = [], topk_search._search_chunk
+    monkeypatch.setattr(topk_search, "_search_chunk", lambda *a: given.append(plain(*a)) or given[-1])
+    want = brute_search(docs, asked, 5)
+    for postings in (4_000_000, 50):
+        assert sorted(map(tuple, topk_search.search(*frames, k=5, block=8, shard_postings=postings, sample=4).collect())) == want
+    # not k for every one of 24 partitions
+    assert all(rows.count() <= 2 * 4 * 5 * len(asked) for rows in given)
+
+
 def test_blocks_are_pruned():
     # one block holds the rare term: the others' bounds fall below the k-th score
     maxima = topk_search.Maxima([(np.array([0, 1]), np.array(m)) for m in ([90, 1], [2, 1], [1, 1])], 2)
@@ -102,8 +115,41 @@ def test_counts_equal_brute_force(docs, text):
     assert got == want
 
 
-def brute_lm(corpus, text, a=1.0):
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=14), min_size=1, max_size=5), st.lists(st.integers(0, 3), min_size=1, max_size=12))
+def test_runs_are_the_steps_of_counts(docs, text):
+    tokens, ends = [], []
+    for d in docs:
+        tokens += [*d, 9]
+        ends.append(len(tokens) - 1)
+    s, length, n = suffix_lm.count_runs(np.array(tokens, np.uint64), np.array(ends), np.array(text, np.uint64), np.full(len(text), len(text)))
+    for i in range(len(text)):
+        have = {k: sum(d[j : j + k] == text[i : i + k] for d in docs for j in range(len(d) - k + 1)) for k in range(1, len(text) - i + 2)}
+        have[len(text) - i + 1] = 0
+        want = [(k, c) for k, c in have.items() if k <= len(text) - i and c != have[k + 1]]
+        got = list(zip(length[s == i].tolist(), n[s == i].tolist(), strict=True))
+        assert dict(got).items() >= dict(want).items() and all(have[k] == c for k, c in got)
+
+
+def test_long_contained_texts(spark, rng, english):
+    """What a text of 20,000 words asks of a corpus that holds it grows with its words."""
+    long = sentence(rng, 20_000, [f"{w}{k}" for w in english for k in range(40)])
+    corpus = [long, sentence(rng, 50, english), " ".join(long.split()[100:300]), long]
+    steps = suffix_lm.ngram_steps(spark.createDataFrame([(t,) for t in corpus], "text string").repartition(2), [(0, long)])
+    assert steps.count() < 6 * 20_000
+    texts = spark.createDataFrame([(1, long), (2, " ".join(long.split()[150:170]))], "item_id long, text string")
+    got = {r.item_id: r for r in suffix_lm.score(spark.createDataFrame([(t,) for t in corpus], "text string"), texts).collect()}
+    assert got[1].words == 20_000 and got[1].longest_context == 19_999 and got[1].perplexity < 1.01
+    log, longest = brute_lm([split(t) for t in corpus], split(" ".join(long.split()[150:170])), sub=True)
+    assert math.isclose(got[2].log_prob, log, rel_tol=1e-9) and got[2].longest_context == longest == 19
+
+
+def brute_lm(corpus, text, a=1.0, sub=False):
+    joined = [b" " + b" ".join(d) + b" " for d in corpus]
+
     def count(g):
+        if sub:
+            return sum(len(re.findall(b"(?= " + b" ".join(g) + b" )", d)) for d in joined)
         return sum(d[j : j + len(g)] == g for d in corpus for j in range(len(d) - len(g) + 1))
 
     total, out = sum(map(len, corpus)), []
