@@ -156,6 +156,31 @@ def test_all_pairs_equal_brute_force(spark, copies, awkward, empty):
     assert [tuple(r) for r in jaccard_join.all_pairs(awkward).collect()] == [(5, 6, 1.0)] and jaccard_join.all_pairs(empty).count() == 0
 
 
+def test_exact_join_equals_brute_force(spark, copies):
+    want = brute(copies, 0.6)
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    rows = jaccard_join.all_pairs(docs, exact=True).collect()
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
+    assert len(got) == len(rows) and set(got) == set(want) and all(np.isclose(want[p], j) for p, j in got.items())
+    # also with a threshold that many bands would miss
+    low = brute(copies, 0.35)
+    assert {(r.doc_a, r.doc_b) for r in jaccard_join.all_pairs(docs, threshold=0.35, exact=True).collect()} == set(low)
+
+
+def test_groups_of_many_bytes_are_tiled(spark, copies):
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    sets = jaccard_join.describe(docs)
+    pairs = jaccard_join.candidates(sets)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(jaccard_join.verify(docs, sets, pairs, tile_bytes=5_000)) == key(jaccard_join.verify(docs, sets, pairs))
+
+
+def test_deduplicate_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5, 1), (2, "a b c d e", 6, 2), (3, "other", 7, 3), (3, "another", 8, 4)], "doc_id long, text string, id_ int, ID__ int")
+    kept = jaccard_join.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e", 5, 1), (3, "another", 8, 4)]
+
+
 def test_join_on_awkward_tables(awkward, empty):
     got = {(r.doc_a, r.doc_b, r.jaccard) for r in jaccard_join.jaccard_join(awkward).collect()}
     assert got == {(5, 6, 1.0)}
