@@ -32,7 +32,7 @@ def doc_hash(doc_id: Column, salt: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None, default_weight: int = 1, percents: tuple[int, ...] = (25, 50, 100), bits: tuple[int, ...] = (15, 45), salt: str = "mix") -> DataFrame:
+def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None, default_weight: int = 1, percents: tuple[int, ...] = (25, 50, 100), bits: tuple[int, ...] = (15, 15, 15, 15), salt: str = "mix") -> DataFrame:
     """(source, percent, budget, threshold) for every source and budget.
 
     ``weights`` are whole numbers, ``default_weight`` holds for sources not
@@ -40,8 +40,10 @@ def thresholds(docs: DataFrame, weights: Mapping[str | None, int] | None = None,
     with any token has at least T * w tokens; the budget of a source is
     T * w * percent / 100, rounded down.  Documents with a hash below the
     threshold fit the budget; documents of one hash (repeated rows) go together.
-    ``bits``: the widths of the histograms, 60 together.  The second one holds
-    1 / 32,768 of a source's documents, still summed by hash.
+    ``bits``: the widths of the histograms, 60 together; a histogram has at most
+    2^width rows for a source and budget, however many documents there are.
+    A table without rows, or without a source that has tokens and a positive
+    weight, gives no rows; a very long text is one document of many tokens.
     """
     if sum(bits) != HASH_BITS:
         raise ValueError("bits must sum to 60")
@@ -82,7 +84,9 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
 
     A null source is a source of its own; null and empty texts have no tokens
     and follow their hash; a source without tokens or with weight 0 gives
-    nothing; an empty table gives an empty result; other columns are ignored.
+    nothing; an empty table gives an empty result; repeated rows share a hash and
+    go together; a document longer than its source's budget is left out, with all
+    that follow it; other columns are ignored.
     """
     cut = _named(thresholds(docs, **parameters))
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), doc_hash(F.col("doc_id"), parameters.get("salt", "mix")).alias("h"))
@@ -91,7 +95,11 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def select(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that the largest budget holds, columns unchanged."""
+    """The rows of ``docs`` that the largest budget holds, columns unchanged.
+
+    Null sources, null and empty texts, sources without tokens, repeated rows and
+    empty tables are as in ``mix``; columns of any other name are kept as they are.
+    """
     cut = _named(thresholds(docs, **parameters)).select("s_", F.expr("cuts[size(cuts) - 1].threshold").alias("t_"))
     on = F.col("d.source").cast("string").eqNullSafe(F.col("c.s_")) & (doc_hash(F.col("d.doc_id"), parameters.get("salt", "mix")) < F.col("c.t_"))
     return docs.alias("d").join(cut.alias("c"), on, "left_semi")
