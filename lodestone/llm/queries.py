@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_two_fit, jaccard_join, language_id, order_minhash, quality_crf, source_mix, suffix_lm, topk_search, url_filter, wrapper_induction
+from . import best_two_fit, jaccard_join, language_id, order_minhash, quality_crf, source_mix, store, suffix_lm, topk_search, url_filter, wrapper_induction
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    labelled = pages.select("url", url_filter.weak_label(F.col("url")).alias("label"))
+    labelled = store.write(url_filter.page_label(pages), "url-labels")
     return url_filter.filter_urls(pages, url_filter.fit(labelled))
 
 
-def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_ngram_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join over distinct sets: copies form pairs with their lowest id."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-OP2_SQL = r"""
+OP2_GROUPS_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '([0-9a-z]|[^\x00-\x7F])+') AS w FROM documents),
 g AS (
@@ -42,12 +43,12 @@ SELECT r.id, n.doc_id, 1.0 FROM n JOIN r USING (s) WHERE n.doc_id <> r.id
 """
 
 
-def op2_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join over all documents, copies included."""
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two documents of the threshold's similarity, copies included."""
     return jaccard_join.all_pairs(table(spark, sf_dir, "documents"))
 
 
-OP2_PAIRS_SQL = r"""
+OP2_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '([0-9a-z]|[^\x00-\x7F])+') AS w FROM documents),
 g AS (
@@ -141,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op2_ngram_jaccard_pairs": OP2_PAIRS_SQL, "op6_source_mix": OP6_SQL, "op9_block_topk": OP9_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op2_ngram_jaccard_groups": OP2_GROUPS_SQL, "op6_source_mix": OP6_SQL, "op9_block_topk": OP9_SQL}
