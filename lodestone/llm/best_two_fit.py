@@ -95,7 +95,9 @@ def best_two_fit(docs: DataFrame, capacity: int = 2048, shard_docs: int = 50_000
     each; rows with a null id are packed too.  Equal lengths are taken by id.
     An empty table gives no bins; other columns are ignored.
     """
-    sized = store.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text")).alias("n")).where("n > 0"), "pack")
+    # rows without an id are spread by their text
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    sized = store.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text")).alias("n"), h.alias("h")).where("n > 0"), "pack")
     shards = max(1, -(-sized.count() // shard_docs))
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
@@ -110,7 +112,7 @@ def best_two_fit(docs: DataFrame, capacity: int = 2048, shard_docs: int = 50_000
         out = pd.DataFrame(flat, columns=["bin_id", "slot", "doc_id", "piece", "piece_start", "n_tokens"])
         return out.astype({"doc_id": "Int64"})
 
-    return sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInPandas(run, SCHEMA)
+    return sized.withColumn("shard", F.pmod("h", F.lit(shards))).select("shard", "doc_id", "n").groupBy("shard").applyInPandas(run, SCHEMA)
 
 
 def gaps(packed: DataFrame, capacity: int = 2048) -> DataFrame:

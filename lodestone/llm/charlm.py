@@ -15,6 +15,8 @@ import numpy as np
 from .textkit import mix
 
 PAD = " "
+#: Characters that are scored at once.
+LONG = 500_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,29 +100,31 @@ class CharModels:
     @classmethod
     def train(cls, texts: dict[str, list[str]], order: int, smoothing: str = "kn", min_context: int = 1) -> CharModels:
         classes, L = list(texts), len(texts)
-        data, alphabet = [], set()
-        for name in classes:
+        seen, alphabet = [], set()
+        for name in classes:  # of each class and order the n-grams, their contexts, suffixes and counts
             cp, starts, ends = codes(texts[name], order)
             alphabet |= set(np.unique(cp).tolist())
             inside = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)] or [np.zeros(0, np.int64)])
-            data.append((rolling(cp, order), inside))
+            h, own = rolling(cp, order), []
+            for n in range(1, order + 1):
+                gram, first, c = np.unique(h[n][inside], return_index=True, return_counts=True)
+                where = inside[first]
+                own.append((gram, h[n - 1][where - 1] if n > 1 else h[0][where], h[n - 1][where], c))
+            seen.append(own)
         uniform = -np.log(len(alphabet) + 1)
         floor, levels = np.full(L, uniform), []
-        unique = [[np.unique(h[n][pos], return_index=True, return_counts=True) for n in range(1, order + 1)] for h, pos in data]
         for n in range(1, order + 1):
-            keys = np.unique(np.concatenate([u[n - 1][0] for u in unique]))
+            keys = np.unique(np.concatenate([own[n - 1][0] for own in seen]))
             grams = HashArray(keys)
             context = np.zeros(len(keys), np.uint64)
             suffix = np.zeros(len(keys), np.uint64)
             count = np.zeros((len(keys), L))
-            for k, ((h, pos), u) in enumerate(zip(data, unique, strict=True)):
-                gram, first, c = u[n - 1]
-                at, where = grams.find(gram), pos[first]
-                context[at], suffix[at] = (h[n - 1][where - 1] if n > 1 else h[0][where]), h[n - 1][where]
+            for k, own in enumerate(seen):
+                gram, before, after, c = own[n - 1]
+                at = grams.find(gram)
+                context[at], suffix[at] = before, after
                 if smoothing == "kn" and n < order and len(gram):
-                    longer, first_l, _ = u[n]
-                    left = grams.find(h[n][pos[first_l]])
-                    c = np.bincount(left, minlength=len(keys))[at]
+                    c = np.bincount(grams.find(own[n][2]), minlength=len(keys))[at]
                 count[at, k] = c
             ctx, inverse = np.unique(context, return_inverse=True)
             total = np.stack([np.bincount(inverse, count[:, k], len(ctx)) for k in range(L)], 1)
@@ -170,8 +174,22 @@ class CharModels:
         return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probability of each text under each class, and its characters."""
-        cp, starts, ends = codes(texts, self.order)
-        total = np.zeros((len(cp) + 1, len(self.classes)))
-        np.cumsum(self.positions(cp), axis=0, dtype=np.float64, out=total[1:])
-        return total[ends] - total[starts], ends - starts
+        """Summed log-probability of each text under each class, and its characters.
+
+        A text longer than ``LONG`` is scored in parts that each see the
+        characters before them; log-probabilities add up, so memory is bounded.
+        """
+        total, size = np.zeros((len(texts), len(self.classes))), np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        short = np.flatnonzero(size <= LONG)
+        if len(short):
+            cp, starts, ends = codes([texts[i] for i in short], self.order)
+            sums = np.zeros((len(cp) + 1, len(self.classes)))
+            np.cumsum(self.positions(cp), axis=0, dtype=np.float64, out=sums[1:])
+            total[short] = sums[ends] - sums[starts]
+        before = self.order - 1
+        for i in np.flatnonzero(size > LONG):
+            text = PAD * before + texts[i]
+            for at in range(before, len(text), LONG):
+                cp = np.frombuffer(text[at - before : at + LONG].encode("utf-32-le", "surrogatepass"), np.uint32)
+                total[i] += self.positions(cp)[before:].sum(0, dtype=np.float64)
+        return total, size

@@ -42,7 +42,7 @@ class LanguageModel:
         return np.where(letters, best, -1), np.where(n > 0, value, np.nan), accepted
 
 
-def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order: int = ORDER, quantile: float = 0.995, margin: float = 0.75) -> LanguageModel | None:
+def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order: int = ORDER, quantile: float = 0.98, margin: float = 0.75) -> LanguageModel | None:
     """Trains on at most ``per_language`` labelled documents of each ``lang``.
 
     A share ``held_out`` of them calibrates the rejection.  The other languages'
@@ -51,7 +51,8 @@ def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order:
     language ``margin`` of the mean above it), or where all but 1 - ``quantile``
     of its own texts stay under, if that is higher; a text of n characters may
     exceed it by four standard errors.  So a text that holds a foreign passage
-    stays, and one that is mostly foreign goes.
+    stays, and one that is mostly foreign goes; of some 90 held-out texts one with
+    a wrong label sets no limit.
     None when no row has both a language and a text.
     """
     rows = sample.per_label(docs.select("doc_id", "lang", "text").where("length(trim(text)) > 0"), "lang", "doc_id", per_language)
@@ -84,7 +85,9 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     A text without letters (null, empty, digits and signs only) has language
     null and is rejected, its cross-entropy null if nothing is left of it after
     trimming; ties go to the language first in order; without a model (nothing
-    labelled) every row is rejected.  Repeated rows and null ids are kept.
+    labelled) every row is rejected.  Repeated rows and null ids are kept, equal
+    texts get equal results; very long texts are scored whole, part by part; an
+    empty table gives no row; other columns, whatever their names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -107,7 +110,12 @@ _NAMES = ["doc_id", "language", "cross_entropy", "accepted"]
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """The rows of ``docs`` whose text is accepted, columns unchanged."""
+    """The rows of ``docs`` whose text is accepted, columns unchanged.
+
+    What ``identify`` rejects goes: null and empty texts, those without letters,
+    and everything without a model.  Rows that repeat stay or go together; null
+    ids, other columns and their names do not matter; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,8 @@ def order_minhash(docs: DataFrame, k: int = K, tuple_size: int = TUPLE, signatur
     k-mers than ``tuple_size`` are all taken; a text without words (null,
     empty, signs only) has 0 k-mers and an empty fingerprint.  Equal texts and
     repeated rows have equal fingerprints.  Ties between hashes go to the
-    earlier position.  Null ids are kept and other columns ignored.
+    earlier position.  Very long texts are fingerprinted whole; an empty table
+    gives no row; null ids are kept and other columns, whatever their names, ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,10 +37,8 @@ def test_mix_equals_brute_force(spark, rng, weights):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(map(tuple, source_mix.mix(docs, weights=weights, percents=(30, 100)).collect()), key=str)
     assert got == brute_mix(rows, weights, (30, 100))
-    if not weights:
-        deep = source_mix.mix(docs, percents=(30, 100), bits=(2, 3, 1, 54))
-        assert sorted(map(tuple, deep.collect()), key=str) == got
-        return
+    deep = source_mix.mix(docs, weights=weights, percents=(30, 100), bits=(2, 3, 1, 54))
+    assert sorted(map(tuple, deep.collect()), key=str) == got
     kept = sorted(str((r.doc_id, r.source)) for r in source_mix.select(docs, weights=weights, percents=(30, 100)).collect())
     assert kept == sorted(str((i, x)) for i, x, _ in got)
 
@@ -102,6 +100,50 @@ def test_best_two_equals_brute_force(sizes, room, least):
         assert got[0] != got[1] or sizes.count(got[0]) > 1
 
 
+def naive_pack(pieces, capacity):
+    left, bins = list(pieces), []
+    while left:
+        room, content = capacity, []
+        while fits := [p for p in left if p[0] <= room]:
+            content.append(next(p for p in left if p[0] == max(fits)[0]))
+            left.remove(content[-1])
+            room -= content[-1][0]
+        if room and len(content) > 1 and left:
+            least = content[-1]
+            pairs = [(a[0] + b[0], -min(a[0], b[0])) for a, b in itertools.combinations(left, 2) if least[0] < a[0] + b[0] <= room + least[0]]
+            if pairs:
+                total, x = max(pairs)
+                content.pop()
+                for n in (total + x, -x):
+                    content.append(next(p for p in left if p[0] == n))
+                    left.remove(content[-1])
+                left.insert(0, least)
+        bins.append(content)
+    return bins
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=30))
+def test_pack_equals_brute_force(sizes):
+    pieces = [(n, i) for i, n in enumerate(sizes)]
+    assert best_two_fit.pack(pieces, 20) == naive_pack(pieces, 20)
+
+
+def test_query_equals_brute_force(spark, rng):
+    docs = [(i, "w " * rng.randrange(0, 40)) for i in range(120)]
+    rows = best_two_fit.best_two_fit(spark.createDataFrame(docs, "doc_id long, text string"), capacity=25).collect()
+    bins = [[(25, (i, k))] for i, t in docs for k in range(len(t.split()) // 25)]
+    bins += naive_pack([(len(t.split()) % 25, (i, len(t.split()) // 25)) for i, t in docs if len(t.split()) % 25], 25)
+    want = sorted((b, s, i, k, k * 25, n) for b, content in enumerate(bins) for s, (n, (i, k)) in enumerate(content))
+    assert sorted(map(tuple, rows)) == want
+
+
+def test_rows_without_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"w{i} x") for i in range(200)], "doc_id long, text string")
+    rows = best_two_fit.best_two_fit(docs, capacity=8, shard_docs=20).collect()
+    assert len(rows) == 200 and len({r.bin_id >> 40 for r in rows}) > 5
+
+
 def test_two_replace_the_smallest():
     # greedy: 6 + 3 leaves 1; 3 gives way to 2 + 2, which fill the bin
     bins = best_two_fit.pack([(6, "a"), (3, "b"), (2, "c"), (2, "d")], 10)

@@ -89,6 +89,31 @@ def test_language_id(spark, labelled, english, german, rng):
     assert kept.columns == held.columns and kept.count() == 200
 
 
+def test_foreign_and_junk_texts_are_rejected(spark, labelled, english, german, rng):
+    """All of three kinds of foreign text go, and every known one stays, also
+    when some labels are wrong."""
+    latin = "quisque velit iaculis facilisi phasellus vulputate fringilla euismod ullamcorper habitasse".split()
+    greek = "ποταμός πέτρα σπίτι χειμώνας κήπος πρωί άνθρωποι φως νερό τραπέζι".split()
+    docs = [(i, sentence(rng, 40, english if i % 2 else german), None, None, None) for i in range(100)]
+    odd = [(1000 + i, sentence(rng, 40, (latin, greek)[i % 2]) if i % 3 else "".join(rng.choice("qxzjvkw") for _ in range(200)), None, None, None) for i in range(90)]
+    wrong = spark.createDataFrame([(5000, sentence(rng, 30, greek), "en", "s", 0)], SCHEMA)
+    for known in (labelled, labelled.unionByName(wrong)):
+        model = language_id.fit(known, per_language=150)
+        kept = {r.doc_id for r in language_id.keep_identified(spark.createDataFrame(docs + odd, SCHEMA), model).collect()}
+        assert kept >= {d[0] for d in docs} and len(kept & {d[0] for d in odd}) <= 2
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch, english, rng):
+    from lodestone.llm import charlm
+
+    m = CharModels.train({"a": [sentence(rng, 50, english)], "b": ["zzz ab"]}, 4)
+    texts = [sentence(rng, n, english) for n in (1, 40, 200)] + ["", "x" * 300]
+    whole, size = m.score(texts)
+    monkeypatch.setattr(charlm, "LONG", 37)
+    parts, same = m.score(texts)
+    assert np.allclose(whole, parts, rtol=1e-5) and (size == same).all() and size.tolist() == [len(t) for t in texts]
+
+
 def test_language_id_on_awkward_tables(awkward, empty, labelled):
     model = language_id.fit(labelled, per_language=60)
     rows = language_id.identify(awkward, model).collect()
@@ -123,6 +148,77 @@ def test_url_filter(spark, rng):
     assert not (model.score(["http://casin0s-win.example.com/a", "http://bet-now.example.com/"]) >= model.threshold).any()
 
 
+def brute_wb(texts, order, history, c, least, alphabet):
+    """Interpolated Witten-Bell straight from the definition."""
+    pad = " " * (order - 1)
+    p = 1 / (alphabet + 1)
+    for n in range(1, order + 1):
+        h = history[len(history) - n + 1 :] if n > 1 else ""
+        follow = {}
+        for t in texts:
+            s = pad + t
+            for i in range(order - 1, len(s)):
+                if s[i - n + 1 : i] == h:
+                    follow[s[i]] = follow.get(s[i], 0) + 1
+        total = sum(follow.values())
+        if total and (n == 1 or total >= least):
+            p = (follow.get(c, 0) + len(follow) * p) / (total + len(follow))
+    return p
+
+
+def test_witten_bell_equals_brute_force():
+    by = {"accepted": ["river.org/stone/0", "river.org/garden"], "rejected": ["casino.com/win", "win.com/casino"]}
+    m = CharModels.train(by, 4, "wb", 2)
+    alphabet = len(set("".join(sum(by.values(), []))) | {" "})
+    for probe in ("river.com/win", "casinos.org", "zzz"):
+        cp, starts, ends = codes([probe], m.order)
+        got = np.exp(m.positions(cp)[starts[0] : ends[0]])
+        padded = " " * (m.order - 1) + probe
+        want = [[brute_wb(by[k], m.order, padded[i : i + m.order - 1], padded[i + m.order - 1], 2, alphabet) for k in by] for i in range(len(probe))]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_filter_equals_brute_force(spark, rng):
+    """Scores and decisions from probabilities of single characters."""
+    good, bad = [f"http://river{i}.org/stone" for i in range(40)], [f"http://casino{i}.com/win" for i in range(40)]
+    model = url_filter.fit(spark.createDataFrame([(u, "accepted") for u in good] + [(u, "rejected") for u in bad], "url string, label string"), order=4)
+    asked = [(i, rng.choice(["https://", "http://", ""]) + rng.choice(["river", "casino", "casinoriver", "stone"]) + rng.choice([".org/", ".com/win"])) for i in range(60)]
+    want = {}
+    for i, u in asked:
+        t = url_filter.normalise(u)
+        cp, starts, ends = codes([t], model.models.order)
+        each = model.models.positions(cp)[starts[0] : ends[0]]
+        value = sum(float(a) - float(b) for a, b in each) / len(t)
+        if value >= model.threshold:
+            want[i] = value
+    got = {r.page_id: r.score for r in url_filter.filter_urls(spark.createDataFrame(asked, "page_id long, url string"), model).collect()}
+    assert set(got) == set(want) and all(np.isclose(got[i], want[i], atol=1e-5) for i in want)
+
+
+def test_labels_of_pages(spark):
+    from pyspark.sql import functions as F
+
+    text = "<p>The garden by the river, and the stone house.</p>" * 5
+    rows = [("http://a.soundtrack.com/", text, "accepted"), ("http://alphabets.org:80/x", text, "accepted"), ("https://www.casino-win.com", text, "rejected"), ("http://free.bets24.com/", text, "rejected"), ("http://river.com/", "<p>RIVER!! STONE!! HOUSE!!</p>" * 5, "rejected"), ("http://river.com/b", "<script>$$$$$$</script>" + text, "accepted"), (None, text, None), ("http://c.com", None, "accepted"), ("http://d.com", "", "accepted"), ("", text, "accepted")]
+    got = url_filter.page_label(spark.createDataFrame(rows, "url string, html string, want string")).collect()
+    assert [r.label for r in got] == [r[2] for r in rows]
+    # a host whose pages are junk is learned; model and words differ on it
+    junk, clean = "<p>BUY!! NOW!! $$$ ###</p>" * 9, text
+    pages = spark.createDataFrame([(f"http://{'ththnoise' if i % 3 == 0 else 'river'}{i % 7}.com/{i}", junk if i % 3 == 0 else clean) for i in range(900)], "url string, html string")
+    model = url_filter.fit(url_filter.page_label(pages))
+    assert (model.score(["http://ththnoise9.com/a"]) < model.threshold).all() and (model.score(["http://river9.com/a"]) >= model.threshold).all()
+    assert pages.where(url_filter.weak_label(F.col("url")) == "rejected").isEmpty()
+
+
+def test_repeated_urls_give_one_model(spark):
+    few = [(f"http://{'casino' if i % 2 else 'river'}{i}.com/", "rejected" if i % 2 else "accepted") for i in range(100)]
+    once = spark.createDataFrame(few, "url string, label string")
+    often = once.crossJoin(spark.range(40_000)).drop("id")
+    a, b = url_filter.fit(once), url_filter.fit(often)
+    probe = [u for u, _ in few] + ["http://casinos.com", "http://stone.com"]
+    assert np.array_equal(a.score(probe), b.score(probe)) and a.threshold == b.threshold
+
+
 def test_repeated_urls_fill_the_sample(spark):
     from pyspark.sql import functions as F
 
@@ -194,6 +290,65 @@ def test_quality(spark, good_and_bad, english, rng):
     assert kept.columns == docs.columns and abs(kept.count() - 200) <= 3
 
 
+def test_spliced_documents_have_lines_of_both_labels(spark, good_and_bad):
+    docs, labels, (good, bad) = good_and_bad
+    model = quality_crf.fit(docs, labels, per_label=100)
+    right = lines = mixed = 0
+    for k in range(40):
+        parts = [good().split("\n"), bad().split("\n")]
+        truth = np.repeat([1, 0], [len(x) for x in parts])
+        if k % 2:
+            parts, truth = parts[::-1], truth[::-1]
+        x = quality_crf.lines_of(pa.array(["\n".join(sum(parts, []))]))
+        got = quality_crf.chain(model.weights[x.active].sum(1), x.first, model.move)[0][:, 1] > 0.5
+        right, lines = right + (got == truth).sum(), lines + len(truth)
+        mixed += 0 < got.sum() < len(got)
+    assert right >= 0.95 * lines and mixed >= 36
+    # a change of label costs something, but not everything
+    assert 0.2 < np.trace(model.move) - np.trace(model.move[::-1]) < 12
+
+
+def test_wrong_labels_set_no_threshold(spark, good_and_bad):
+    docs, labels, (_, bad) = good_and_bad
+    wrong = spark.createDataFrame([(1000, bad(), "en", "s", 0)], SCHEMA)
+    model = quality_crf.fit(docs.unionByName(wrong), labels.unionByName(spark.createDataFrame([(1000, 1, 0)], "doc_id long, quality int, toxic int")), per_label=150)
+    got = {r.doc_id: r.accepted for r in quality_crf.classify(docs, model).collect()}
+    assert sum(got[i] != bool(i % 2) for i in range(300, 400)) <= 4
+
+
+def test_lines_are_those_that_texts_give():
+    for text in ("a\n\n b\t\n\r\n\x0b\nc", "", "\n", "one", "x\u2028y\nz"):
+        assert len(quality_crf.line_texts(text)) == np.diff(quality_crf.lines_of(pa.array([text])).first)[0]
+
+
+def brute_gradient(texts, labels, step=1e-5):
+    """Slope of the log-likelihood at zero, by differences."""
+    x = quality_crf.lines_of(pa.array(texts))
+    y = np.repeat(labels, np.diff(x.first))
+
+    def likelihood(w, move):
+        s = w[x.active].sum(1)
+        z = quality_crf.chain(s, x.first, move)[2].sum()
+        paths = sum(s[i, y[i]] for i in range(len(y))) + sum(move[y[i - 1], y[i]] for a, b in zip(x.first[:-1], x.first[1:], strict=True) for i in range(a + 1, b))
+        return paths - z
+
+    w, move = np.zeros((quality_crf.FEATURES, 2)), np.zeros((2, 2))
+    out = []
+    for f in np.unique(x.active)[:12]:
+        e = w.copy()
+        e[f, 1] = step
+        out.append(((f, 1), (likelihood(e, move) - likelihood(-e, move)) / (2 * step)))
+    return out
+
+
+def test_first_training_step_follows_the_gradient(good_and_bad):
+    _, _, (good, bad) = good_and_bad
+    texts, labels = [good(), bad(), good(), bad()], [1, 0, 1, 0]
+    w, _ = quality_crf.train(texts, labels, steps=1, l2=0)
+    for at, slope in brute_gradient(texts, labels):
+        assert abs(slope) < 1e-6 and abs(w[at]) < 1e-6 or np.sign(w[at]) == np.sign(slope)
+
+
 def test_labels_of_missing_documents_take_no_place(spark, good_and_bad):
     docs, labels, _ = good_and_bad
     missing = spark.range(10_000, 30_000).selectExpr("id as doc_id", "cast(id % 2 as long) as quality", "0L as toxic")
