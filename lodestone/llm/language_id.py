@@ -51,7 +51,7 @@ def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order:
     language ``margin`` of the mean above it), or where all but 1 - ``quantile``
     of its own texts stay under, if that is higher; a text of n characters may
     exceed it by four standard errors.  So a text that holds a foreign passage
-    stays, and one that is mostly foreign goes; of some 90 held-out texts one with
+    stays, and one that is mostly foreign goes; from 20 held-out texts on, one with
     a wrong label sets no limit.
     None when no row has both a language and a text.
     """
@@ -71,7 +71,8 @@ def fit(docs: DataFrame, per_language: int = 300, held_out: float = 0.3, order:
         total, n = held[k]
         mean, long = -total[:, i].sum() / n.sum(), -total[:, i] / n
         b = 4 * max(0.5, float(np.sqrt(np.average((long - mean) ** 2 * n))))
-        excess = np.quantile(long - mean - b / np.sqrt(n), quantile)
+        over = np.sort(long - mean - b / np.sqrt(n))
+        excess = over[-1 - max(int((1 - quantile) * len(over)), int(len(over) >= 20))]
         others = [-t[:, i] / m for o, (t, m) in held.items() if o != k]
         far = np.quantile(np.concatenate(others), 0.05) if others else mean * (1 + 2 * margin)
         limit.append(mean + max(0.5 * (far - mean), excess, 0.0))

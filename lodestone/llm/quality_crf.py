@@ -235,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400, held_out: floa
     The threshold is calibrated on the held-out share: the quality with the
     fewest errors among those that keep at least ``keep_share`` of the good
     documents.  In the range of equals it lies a quarter up, since dropping a
-    good document is the worse error.  Of 120 held-out good documents one with a
-    wrong label sets no threshold.  None unless both labels occur.
+    good document is the worse error.  From 20 held-out good documents on, one with
+    a wrong label sets no threshold.  None unless both labels occur.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     # the sample is drawn from the narrow labels of documents with a text; only its texts are fetched
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400, held_out: floa
     w, move = train(bad + good + mixed, [*of_bad, *[1] * len(good), *of_mixed])
     model = QualityModel(w, move, 0.0)
     bad, good = (q[~np.isnan(q)] for q in (model.score(pa.array(by[k][cut[k] :] or by[k], pa.string()))[0] for k in (0, 1)))
-    top = np.sort(good)[int((1 - keep_share) * len(good))]
+    top = np.sort(good)[max(int((1 - keep_share) * len(good)), int(len(good) >= 20))]
     tries = np.unique(np.concatenate([[0.02], bad, good]))
     tries = np.concatenate([(tries[1:] + tries[:-1]) / 2, [top]])
     tries = tries[tries <= top]

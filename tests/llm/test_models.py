@@ -96,7 +96,7 @@ def test_foreign_and_junk_texts_are_rejected(spark, labelled, english, german, r
     greek = "ποταμός πέτρα σπίτι χειμώνας κήπος πρωί άνθρωποι φως νερό τραπέζι".split()
     docs = [(i, sentence(rng, 40, english if i % 2 else german), None, None, None) for i in range(100)]
     odd = [(1000 + i, sentence(rng, 40, (latin, greek)[i % 2]) if i % 3 else "".join(rng.choice("qxzjvkw") for _ in range(200)), None, None, None) for i in range(90)]
-    wrong = spark.createDataFrame([(5000, sentence(rng, 30, greek), "en", "s", 0)], SCHEMA)
+    wrong = spark.createDataFrame([(5000, sentence(rng, 30, "река камень дом зима сад утро люди свет вода стол".split()), "en", "s", 0)], SCHEMA)
     for known in (labelled, labelled.unionByName(wrong)):
         model = language_id.fit(known, per_language=150)
         kept = {r.doc_id for r in language_id.keep_identified(spark.createDataFrame(docs + odd, SCHEMA), model).collect()}
