@@ -8,10 +8,12 @@ from dataclasses import dataclass, replace
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .errors import SearchConfigurationError, SearchOperationError, SearchValidationError
+from .functions.columns import bucket_of, epoch_millis
 from .functions.values import UTC, coerce, of_spark
 from .operators.joins import Joined, join_paths, semi_joins
 from .operators.predicates import fold, literal, predicate
@@ -50,11 +52,12 @@ class Engine:
 
     ``zone`` is the application zone of naive date-times and must be the
     session's time zone; ``expand_days`` lets a plain date at the end of a
-    range mean the end of that day.
+    range mean the end of that day; ``auto_fetch`` adds to every page the to-one
+    relations of the entity, and of the to-many relations that are fetched.
     """
 
-    def __init__(self, catalog: Catalog, entity: str, schema: SearchSchema | None = None, zone: dt.tzinfo = UTC, expand_days: bool = True):
-        self.catalog, self.name, self.schema, self.zone, self.expand_days = catalog, entity, schema, zone, expand_days
+    def __init__(self, catalog: Catalog, entity: str, schema: SearchSchema | None = None, zone: dt.tzinfo = UTC, expand_days: bool = True, auto_fetch: bool = False):
+        self.catalog, self.name, self.schema, self.zone, self.expand_days, self.auto_fetch = catalog, entity, schema, zone, expand_days, auto_fetch
         self.entity = catalog.entity(entity)
         self.keys = catalog.keys(entity)
 
@@ -157,11 +160,25 @@ class Engine:
         if keys_only:
             small = F.broadcast(rows) if size <= BROADCAST_ROWS else rows
             rows = self.entity.df.join(small, self._on_keys(), "inner")
-        rows = self._fetch(rows, request.fetch, size)
-        if keys_only or request.fetch:
-            rows = rows.orderBy(*by)  # joins do not keep an order
-        extra = [c for c in rows.columns if c.startswith(("__s", "__pk"))]
-        return rows.drop(*extra)
+        fetch = self._fetched(request)
+        if fetch:
+            # what belongs to the page is joined to its rows, not to the search again
+            rows = self._fetch(_held(rows) if size <= BROADCAST_ROWS else rows, fetch, size)
+        if keys_only or fetch:
+            rows = rows.orderBy(*by).limit(size)  # joins do not keep an order
+        made = {f"__s{i}" for i in range(len(by))} | ({f"__pk{i}" for i in range(len(self.keys))} if keys_only else set())
+        return rows.drop(*made)
+
+    def _fetched(self, request: Search) -> list[str]:
+        """The request's fetch paths, with to-one relations if those are added."""
+        paths = list(request.fetch)
+        if self.auto_fetch:
+            for path in ("", *request.fetch):
+                steps, _ = self.catalog.walk(self.name, path) if path else ((), None)
+                if not path or steps[-1].relation.many:
+                    at = self.catalog.entity(steps[-1].relation.target) if path else self.entity
+                    paths += [f"{path}.{r.name}".lstrip(".") for r in at.relations if not r.many]
+        return list(dict.fromkeys(paths))
 
     def find_all(self, request: Search) -> Page:
         """The requested page, with fetched relations as nested columns."""
@@ -219,8 +236,11 @@ class Engine:
         rows = self.first(request).collect()
         return rows[0] if rows else None
 
-    def _flagged(self, request: Search) -> tuple[DataFrame, Column]:
-        """All rows of the entity with a flag for the matches."""
+    def _flagged(self, request: Search, counted: bool = False) -> tuple[DataFrame, Column]:
+        """All rows of the entity with a flag for the matches; where it is to be
+        counted, no constant that would let the optimizer drop the table."""
+        if counted and not request.nodes:
+            return self.entity.df, F.monotonically_increasing_id() >= 0
         plain = all("." not in c.target or not self.catalog.walk(self.name, c.target)[0] for c in request.conditions())
         if plain:
             joined = join_paths(self.catalog, self.name, [c.target for c in request.conditions()])
@@ -229,21 +249,23 @@ class Engine:
         keys = self.matched_keys(request).withColumn("__hit", F.lit(True))
         return self.entity.df.join(keys, self._on_keys(), "left"), F.coalesce(F.col("__hit"), F.lit(False))
 
-    def delete(self, request: Search) -> tuple[DataFrame, DataFrame]:
-        """(survivors, matches): the table without the matches, and them.  The
-        number deleted is ``count`` of the same request."""
+    def delete(self, request: Search, affected: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+        """(survivors, matches): the table without the matches, and them.
+
+        ``affected`` counts while the survivors are written: afterwards its
+        ``get["affected"]`` is the number deleted."""
         self._checked(request)
-        df, hit = self._flagged(request)
+        df, hit = self._flagged(request, affected is not None)
         columns = [F.col(f"`{c}`") for c in self.entity.df.columns]
-        return df.where(~hit).select(*columns), df.where(hit).select(*columns)
+        return _observed(df, hit, affected).where(~hit).select(*columns), df.where(hit).select(*columns)
 
-    def update(self, request: Search, values: Mapping[str, Any] | Any) -> DataFrame:
+    def update(self, request: Search, values: Mapping[str, Any] | Any, affected: Observation | None = None) -> DataFrame:
         """The table after setting columns of all matches.  ``values``: a mapping
         or an object whose attributes name columns; None never overwrites, and
-        collections are left out."""
+        collections are left out.  ``affected`` counts the matches as in ``delete``."""
         self._checked(request)
         data = values if isinstance(values, Mapping) else vars(values)
-        df, hit = self._flagged(request)
+        df, hit = self._flagged(request, affected is not None)
         new: dict[str, Column] = {}
         for name, value in data.items():
             kind = column_type(self.entity.df.schema, name)
@@ -252,7 +274,7 @@ class Engine:
             if value is None or isinstance(value, (list, tuple, set, dict)):
                 continue
             new[name] = F.when(hit, literal(coerce(value, of_spark(kind), self.zone), kind)).otherwise(F.col(f"`{name}`"))
-        return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in self.entity.df.columns])
+        return _observed(df, hit, affected).select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in self.entity.df.columns])
 
     # time buckets
 
@@ -281,7 +303,7 @@ class Engine:
         return rows.select(part.alias("b")).agg(*[F.count_if(F.col("b") == i).alias(f"b{i}") for i in range(number)])
 
     def _millis(self, axis: Column) -> Column:
-        return F.unix_millis(axis.cast("timestamp"))
+        return epoch_millis(axis)
 
     def _window(self, start: dt.datetime, end: dt.datetime, number: int) -> tuple[int, int]:
         def millis(t: dt.datetime) -> int:
@@ -296,7 +318,32 @@ class Engine:
         return first, last - first
 
 
-def _attach(catalog: Catalog, name: str, rows: DataFrame, tree: Mapping[str, dict], size: int, at: str = "") -> DataFrame:
+def _observed(df: DataFrame, hit: Column, affected: Observation | None) -> DataFrame:
+    return df.observe(affected, F.count_if(hit).alias("affected")) if affected else df
+
+
+def _held(page: DataFrame) -> DataFrame:
+    """A page of bounded size as a table of its own, read once; types that Arrow
+    has no counterpart for stay a plan."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return plain(kind.elementType)
+        if isinstance(kind, T.MapType):
+            return plain(kind.keyType) and plain(kind.valueType)
+        if isinstance(kind, T.StructType):
+            return len(kind) > 0 and all(plain(f.dataType) for f in kind)
+        return isinstance(kind, (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+    if not plain(page.schema) or len(set(page.columns)) < len(page.columns):
+        return page
+    return page.sparkSession.createDataFrame(page.toArrow(), schema=page.schema)
+
+
+def _attach(catalog: Catalog, name: str, rows: DataFrame, tree: Mapping[str, dict], size: int | None, at: str = "") -> DataFrame:
+    """``size``: the most rows there can be; below the first level it is not known,
+    and the joins are left to adaptive execution."""
+    page = rows
     for part, below in tree.items():
         here = f"{at}__{part}"  # names that no other level of the tree uses
         (step,), _ = catalog.walk(name, part)
@@ -305,8 +352,8 @@ def _attach(catalog: Catalog, name: str, rows: DataFrame, tree: Mapping[str, dic
         own = [F.col(o) for o, _ in relation.on]
         names = [f"{here}__f{i}" for i in range(len(own))]
         child = target.df
-        wanted = rows.select(*[c.alias(n) for c, n in zip(own, names, strict=True)]).distinct()
-        wanted = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted
+        wanted = page.select(*[c.alias(n) for c, n in zip(own, names, strict=True)]).distinct()
+        wanted = F.broadcast(wanted) if size is not None and size <= BROADCAST_ROWS else wanted
         if relation.via is not None:
             bridge = relation.via.select(*{b: F.col(b).alias(f"{here}__v_{b}") for pair in (relation.on, [(t, b) for b, t in relation.via_on]) for _, b in pair}.values()).distinct()
             child = child.join(bridge, [F.col(t) == F.col(f"{here}__v_{b}") for b, t in relation.via_on])
@@ -314,7 +361,7 @@ def _attach(catalog: Catalog, name: str, rows: DataFrame, tree: Mapping[str, dic
         else:
             keys = [F.col(t) for _, t in relation.on]
         child = child.join(wanted, [k == F.col(n) for k, n in zip(keys, names, strict=True)], "inner")
-        child = _attach(catalog, relation.target, child, below, size, here)
+        child = _attach(catalog, relation.target, child, below, None, here)
         value = F.struct(*[F.col(f"`{c}`") for c in [*target.df.columns, *below]])
         grouped = child.groupBy(*names).agg((F.sort_array(F.collect_list(value)) if relation.many and not below else F.collect_list(value) if relation.many else F.first(value)).alias(f"{here}__value"))
         rows = rows.join(grouped, [o == F.col(n) for o, n in zip(own, names, strict=True)], "left").drop(*names)

@@ -23,6 +23,10 @@ _TEXT: dict[str, tuple[str, str]] = {
     "value.size": ("field '{0}': length must be between {1} and {2}", "필드 '{0}': 길이는 {1}에서 {2} 사이여야 합니다"),
     "value.pattern": ("field '{0}': value does not match {1}", "필드 '{0}': 값이 {1} 패턴과 다릅니다"),
     "value.range": ("field '{0}': value must be between {1} and {2}", "필드 '{0}': 값은 {1}에서 {2} 사이여야 합니다"),
+    "value.digits": ("field '{0}': at most {1} whole and {2} fractional digits", "필드 '{0}': 정수 {1}자리, 소수 {2}자리까지 허용됩니다"),
+    "value.rule": ("field '{0}': value has to be {1}", "필드 '{0}': 값이 {1} 조건을 만족해야 합니다"),
+    "value.check": ("field '{0}': value is not allowed", "필드 '{0}': 허용되지 않는 값입니다"),
+    "rule.unknown": ("field '{0}': unknown rule '{1}'; known: {2}", "필드 '{0}': 알 수 없는 규칙 '{1}'. 가능한 규칙: {2}"),
     "pattern.empty": ("{0} needs a pattern that is not empty", "{0}에는 비어 있지 않은 패턴이 필요합니다"),
     "pattern.type": ("field '{0}' is neither text nor JSON", "필드 '{0}'는 문자열이나 JSON이 아닙니다"),
     "compare.type": ("field '{0}' cannot be compared by order", "필드 '{0}'는 크기를 비교할 수 없습니다"),

@@ -54,6 +54,18 @@ def value_schema(spec: FieldSpec) -> dict[str, Any]:
     out |= {k: v for k, v in named.items() if v is not None}
     if spec.pattern and "enum" not in out:
         out["pattern"] = spec.pattern
+    if "email" in spec.constraints:
+        out["format"] = "email"
+    if {"not_blank", "not_empty"} & set(spec.constraints):
+        out["minLength"] = max(1, spec.min_length or 0)
+    if "positive" in spec.constraints:
+        out["exclusiveMinimum"] = 0
+    if "positive_or_zero" in spec.constraints:
+        out.setdefault("minimum", 0)
+    if "negative" in spec.constraints:
+        out["exclusiveMaximum"] = 0
+    if "negative_or_zero" in spec.constraints:
+        out.setdefault("maximum", 0)
     return out
 
 
@@ -130,5 +142,33 @@ def operation(schema: SearchSchema, method: str = "get") -> dict[str, Any]:
     return {"description": description(schema), "requestBody": {"required": True, "content": body}}
 
 
+def components(schema: SearchSchema | None = None) -> dict[str, Any]:
+    """The component schemas that ``operation`` refers to: a request with its
+    conditions, which may be groups, its sort and its page.  With a schema, only
+    its fields are named."""
+    names = [f.name for f in schema.all()] if schema else []
+    sortable = [f.name for f in schema.all() if f.sortable] if schema else []
+    logic = {"type": "string", "enum": ["and", "or"], "description": "how it is joined to what stands before it; 'and' by default"}
+    any_value = {"description": "a value, or an array for operators that take several"}
+    order = {"type": "object", "required": ["field"], "properties": {"field": {"type": "string"} | ({"enum": sortable} if sortable else {}), "direction": {"type": "string", "enum": ["asc", "desc"], "default": "asc"}}}
+    condition = {
+        "type": "object",
+        "required": ["field", "searchOperator"],
+        "properties": {"operator": logic, "field": {"type": "string"} | ({"enum": names} if names else {}), "searchOperator": {"type": "string", "enum": [o.value for o in Op]}, "value": any_value, "value2": {"description": "the second value of a range"}},
+    }
+    either = {"oneOf": [{"$ref": "#/components/schemas/SearchCondition"}, {"$ref": "#/components/schemas/SearchGroup"}]}
+    group = {"type": "object", "required": ["conditions"], "properties": {"operator": logic, "conditions": {"type": "array", "items": either}}}
+    request = {
+        "type": "object",
+        "properties": {
+            "conditions": {"type": "array", "items": either},
+            "sort": {"type": "object", "properties": {"orders": {"type": "array", "items": {"$ref": "#/components/schemas/SearchOrder"}}}},
+            "page": {"type": "integer", "format": "int32", "minimum": 0},
+            "size": {"type": "integer", "format": "int32", "minimum": 1},
+        },
+    }
+    return {"schemas": {"Search": request, "SearchCondition": condition, "SearchGroup": group, "SearchOrder": order}}
+
+
 def string_type(kind: ValueType) -> bool:
     return _TYPES.get(kind.name, ("string",))[0] == "string"

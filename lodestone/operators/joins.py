@@ -70,8 +70,8 @@ def join_paths(catalog: Catalog, root: str, paths: Iterable[str], df: DataFrame
         child = target.df.select(*[F.col(c).alias(_mangled(path, c)) for c in columns])
         if s.relation.via is not None:
             bridge_columns = sorted({b for _, b in s.relation.on} | {b for b, _ in s.relation.via_on})
-            # a pair that the bridge names many times still is one relation
-            bridge = s.relation.via.select(*[F.col(c).alias(_mangled(path + ".via", c)) for c in bridge_columns]).distinct()
+            # a pair that the bridge names many times still is one relation: roots are made distinct later
+            bridge = s.relation.via.select(*[F.col(c).alias(_mangled(path + ".via", c)) for c in bridge_columns])
             df = df.join(bridge, _all(ref(s.parent, own) == F.col(_mangled(path + ".via", b)) for own, b in s.relation.on), "left")
             on = _all(F.col(_mangled(path + ".via", b)) == F.col(_mangled(path, t)) for b, t in s.relation.via_on)
         else:

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from ..errors import SearchConfigurationError
 from ..functions.values import ValueType
 from .ir import Op
 
+#: Rules that ``FieldSpec.constraints`` may name.
+RULES = (
+    "not_blank", "not_empty", "email", "past", "past_or_present", "future", "future_or_present", "positive", "positive_or_zero", "negative", "negative_or_zero", "assert_true", "assert_false",
+)
+
 
 @dataclass(frozen=True)
 class FieldSpec:
     """One searchable field.  ``path``: column or dotted path, the name itself
-    by default; ``operators`` empty: all; ``sort_path``: another path for sorts."""
+    by default; ``operators`` empty: all; ``sort_path``: another path for sorts.
+
+    ``constraints``: names of further rules for values (``RULES`` in
+    ``validate``), such as not_blank, email, past or positive; ``digits``: the
+    most whole and fractional digits; ``check``: any other test of a value.
+    """
 
     name: str
     type: ValueType = ValueType("string")
@@ -25,6 +37,14 @@ class FieldSpec:
     minimum: object = None
     maximum: object = None
     description: str | None = None
+    constraints: tuple[str, ...] = ()
+    digits: tuple[int, int] | None = None
+    check: Callable[[object], bool] | None = field(default=None, compare=False)
+
+    def __post_init__(self):
+        for c in self.constraints:
+            if c not in RULES:
+                raise SearchConfigurationError("rule.unknown", self.name, c, ", ".join(RULES))
 
     def allows(self, op: Op) -> bool:
         return not self.operators or op in self.operators

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from decimal import Decimal
 
 from ..errors import SearchError, SearchValidationError, message
 from ..functions.values import ORDERED, UTC, coerce
@@ -41,8 +42,43 @@ def paging(request: Search) -> list[str]:
     return problems
 
 
-def _constraints(spec: FieldSpec, value) -> list[str]:
-    problems = []
+def _now(value, zone: dt.tzinfo):
+    """The present moment in the form of ``value``; None for what is no moment."""
+    now = dt.datetime.now(zone)
+    if isinstance(value, dt.datetime):
+        return now if value.tzinfo else now.replace(tzinfo=None)
+    return now.date() if isinstance(value, dt.date) else None
+
+
+def _kept(rule: str, value, zone: dt.tzinfo) -> bool:
+    """Whether a value keeps a rule; rules do not bind values of other kinds."""
+    if rule in ("not_blank", "not_empty"):
+        return not isinstance(value, str) or bool(value.strip() if rule == "not_blank" else value)
+    if rule == "email":
+        return not isinstance(value, str) or not value or re.fullmatch(r"[^@\s.]+(?:\.[^@\s.]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*", value) is not None
+    if rule.startswith("assert_"):
+        return not isinstance(value, bool) or value is (rule == "assert_true")
+    if rule.startswith(("past", "future")):
+        if (now := _now(value, zone)) is None:
+            return True
+        return value < now if rule == "past" else value <= now if rule == "past_or_present" else value > now if rule == "future" else value >= now
+    if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
+        return True
+    return value > 0 if rule == "positive" else value >= 0 if rule == "positive_or_zero" else value < 0 if rule == "negative" else value <= 0
+
+
+def _digits(value) -> tuple[int, int]:
+    """Whole and fractional digits of a number, without leading and trailing zeros."""
+    sign, digits, exponent = Decimal(str(value)).normalize().as_tuple()
+    return max(len(digits) + exponent, 0) if digits != (0,) else 0, max(-exponent, 0)
+
+
+def _constraints(spec: FieldSpec, value, zone: dt.tzinfo = UTC) -> list[str]:
+    problems = [message("value.rule", spec.name, r.replace("_", " ")) for r in spec.constraints if not _kept(r, value, zone)]
+    if spec.digits and isinstance(value, (int, float, Decimal)) and not isinstance(value, bool) and any(n > most for n, most in zip(_digits(value), spec.digits, strict=True)):
+        problems.append(message("value.digits", spec.name, *spec.digits))
+    if spec.check and not spec.check(value):
+        problems.append(message("value.check", spec.name))
     if isinstance(value, str):
         low, high = spec.min_length or 0, spec.max_length
         if len(value) < low or (high is not None and len(value) > high):
@@ -96,7 +132,7 @@ def values(spec: FieldSpec, c: Condition, zone: dt.tzinfo = UTC) -> list[str]:
         if typed is None:
             problems.append(message("value.null", c.field, name))
             continue
-        problems += _constraints(spec, typed)
+        problems += _constraints(spec, typed, zone)
     return problems
 
 

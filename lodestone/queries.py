@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors, openapi
 from .engine import Engine
 from .errors import SearchError, SearchValidationError
-from .functions.columns import bucket_of
+from .functions.columns import bucket_of, epoch_millis
 from .functions.values import ValueType, date_only, enum, has_zone, parse, parse_bound
 from .operators.joins import join_paths
 from .plans.builder import SearchBuilder, from_search, search
@@ -154,6 +154,11 @@ _add(
     lambda s, d: _engine(s, d).find_all(search(ORDERS).where(lambda w: w.equals("status", "P")).sort(lambda o: o.desc("price")).page(0).size(40).fetch_fields("customer.nation", "lineitems").build()).content.select("o_orderkey", F.col("customer.c_name").alias("c_name"), F.col("customer.nation.n_name").alias("n_name"), F.size("lineitems").cast("long").alias("items"), F.round(F.aggregate("lineitems", F.lit(0.0), lambda a, x: a + x["l_quantity"]), 2).alias("quantity")),
     "WITH p AS (SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 40) SELECT o_orderkey, any_value(c_name) AS c_name, any_value(n_name) AS n_name, count(l_orderkey) AS items, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM p LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
 )
+_add(
+    "fetch_auto",
+    lambda s, d: Engine(parquet_catalog(s, d), "orders", ORDERS, auto_fetch=True).find_all(search(ORDERS).where(lambda w: w.equals("status", "P")).sort(lambda o: o.desc("price")).page(1).size(40).fetch_fields("lineitems").build()).content.select("o_orderkey", F.col("customer.c_name").alias("c_name"), F.array_max("lineitems.part.p_name").alias("part"), F.array_min("lineitems.supplier.s_suppkey").alias("supplier")),
+    "WITH p AS (SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 40) SELECT o_orderkey, any_value(c_name) AS c_name, max(p_name) AS part, min(s_suppkey) AS supplier FROM p LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY o_orderkey",
+)
 _add(
     "path_cardinality",
     lambda s, d: s.createDataFrame([(p, _engine(s, d).catalog.is_to_many("orders", p)) for p in ("customer.c_name", "customer.nation.n_name", "lineitems.l_tax", "lineitems.part.p_name", "customer.orders.o_orderkey")], "path string, many boolean"),
@@ -223,6 +228,7 @@ _page(
     "SELECT o_orderkey, any_value(o_custkey) AS o_custkey, any_value(o_orderstatus) AS o_orderstatus, any_value(o_totalprice) AS o_totalprice FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY o_orderkey ORDER BY max(l_quantity) DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 40",
 )
 _page("page_offset_limit", lambda: search(ORDERS).where(lambda w: w.equals("status", "O")).sort(lambda s: s.desc("date")).page(7).size(33).build(), f"SELECT {_ORDER} FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 33 OFFSET 231")
+_page("page_large", lambda: search(ORDERS).sort(lambda s: s.desc("date").desc("id")).page(0).size(100).build(), f"SELECT {_ORDER} FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
 _page("page_defaults", lambda: search(ORDERS).where(lambda w: w.equals("status", "O")).build(), f"SELECT {_ORDER} FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 20")
 _add("page_total", lambda s, d: _one_row(s, "n", _engine(s, d).find_all(search(ORDERS).where(lambda w: w.equals("status", "P")).page(10_000).size(20).build()).total), "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'")
 _page("page_past_end", lambda: search(ORDERS).where(lambda w: w.equals("status", "P")).page(10_000).size(20).build(), f"SELECT {_ORDER} FROM orders WHERE false")
@@ -234,7 +240,7 @@ _add(
 
 # functions
 
-_add("fn_epoch_millis", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "SELECT event_id, (epoch_us(ts) // 1000) AS ms FROM events")
+_add("fn_epoch_millis", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", epoch_millis(F.col("ts")).alias("ms")), "SELECT event_id, (epoch_us(ts) // 1000) AS ms FROM events")
 _rows("fn_json_as_text", _plain(lambda w: w.contains("props", '"k": 6').ends_with("props", "}")), "contains(props, '\"k\": 6') AND suffix(props, '}')", "events", "event_id, props")
 _rows("fn_like_escape", _plain(lambda w: w.contains("p_brand", "#1_").or_contains("p_brand", "%").or_contains("p_brand", "#3")), "p_brand LIKE '%#1\\_%' ESCAPE '\\' OR p_brand LIKE '%\\%%' ESCAPE '\\' OR p_brand LIKE '%#3%'", "part", "p_partkey, p_brand")
 
@@ -248,6 +254,17 @@ _add("count", lambda s, d: _one_row(s, "n", _engine(s, d).count(_w(lambda w: w.e
 _add("exists", lambda s, d: s.createDataFrame([(_engine(s, d).exists(_w(lambda w: w.equals("status", "P"))()), _engine(s, d).exists(_w(lambda w: w.equals("status", "?"))()))], "some boolean, none boolean"), "SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P') AS some, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = '?') AS none")
 _DELETE = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"
 _add("delete", lambda s, d: _engine(s, d).delete(_w(lambda w: w.equals("returnFlag", "R"))())[0].select(*_ORDER.split(", ")), f"SELECT {_ORDER} FROM orders WHERE NOT {_DELETE}")
+
+
+def _affected(s: SparkSession, run: Callable[[Observation], DataFrame]) -> DataFrame:
+    """Rows that a delete or an update met, counted while its result was written."""
+    affected = Observation()
+    run(affected).write.format("noop").mode("overwrite").save()
+    return _one_row(s, "n", affected.get["affected"])
+
+
+_add("delete_affected", lambda s, d: _affected(s, lambda o: _engine(s, d).delete(_w(lambda w: w.equals("returnFlag", "R"))(), o)[0]), f"SELECT count(*) AS n FROM orders WHERE {_DELETE}")
+_add("update_affected", lambda s, d: _affected(s, lambda o: _engine(s, d).update(_w(lambda w: w.equals("segment", "BUILDING"))(), {"o_orderstatus": "X"}, o)), "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 _add("sink_delete", lambda s, d: _engine(s, d).delete(_w(lambda w: w.less_than("price", 100000.0))())[0].groupBy("o_orderstatus").agg(F.count("*").alias("n")), "SELECT o_orderstatus, count(*) AS n FROM orders WHERE NOT o_totalprice < 100000 GROUP BY 1")
 _add("update", lambda s, d: _engine(s, d).update(_w(lambda w: w.equals("segment", "BUILDING"))(), {"o_orderstatus": "X", "o_orderpriority": None}).select("o_orderkey", "o_orderstatus", "o_orderpriority"), "SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 _add("sink_update", lambda s, d: _engine(s, d).update(_w(lambda w: w.greater_than("price", 150000.0))(), {"o_totalprice": "0"}).groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice") == 0).alias("n")), "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 150000) AS n FROM orders GROUP BY 1")
@@ -343,6 +360,21 @@ _problems("val_between2", [("one end", lambda b: b.where(lambda w: w.between("n"
 _problems("val_collection", [("scalar", lambda b: b.where(lambda w: w.in_("n", 1)), 1), ("empty", lambda b: b.where(lambda w: w.in_("n", [])), 1), ("bad item", lambda b: b.where(lambda w: w.in_("n", [1, "x"])), 1), ("good", lambda b: b.where(lambda w: w.in_("n", [1, "2"])), 0)])
 _problems("val_type", [("text", lambda b: b.where(lambda w: w.equals("n", "x")), 1), ("double", lambda b: b.where(lambda w: w.equals("n", 1.5)), 1), ("parsed", lambda b: b.where(lambda w: w.equals("n", "1")), 0)])
 _problems("val_constraints", [("short", lambda b: b.where(lambda w: w.equals("s", "a")), 1), ("long", lambda b: b.where(lambda w: w.equals("s", "abcde")), 1), ("low", lambda b: b.where(lambda w: w.equals("n", -1)), 1), ("items", lambda b: b.where(lambda w: w.in_("s", ["a", "ab", "abcde"])), 2)])
+_RULES = SearchSchema("rules", (text("mail", constraints=("not_blank", "email")), typed("past", "date", constraints=("past_or_present",)), typed("amount", "decimal", digits=(3, 2), constraints=("positive",)), typed("yes", "boolean", constraints=("assert_true",)), typed("even", "int", check=lambda v: v % 2 == 0)))
+
+
+def _rule_problems() -> list[tuple]:
+    out = []
+    for name, value in (("mail", "a.b@example.org"), ("mail", "a@"), ("mail", " "), ("past", "2000-01-01"), ("past", "9000-01-01"), ("amount", "999.25"), ("amount", "1000.5"), ("amount", "0.125"), ("amount", "-1"), ("yes", "true"), ("yes", "false"), ("even", "4"), ("even", "5")):
+        try:
+            search(_RULES).where(lambda w, n=name, v=value: w.equals(n, v)).build()
+            out.append((name, value, 0))
+        except SearchValidationError as e:
+            out.append((name, value, len(e.problems)))
+    return out
+
+
+_facts("val_rules", "field string, value string, problems long", _rule_problems, [("mail", "a.b@example.org", 0), ("mail", "a@", 1), ("mail", " ", 2), ("past", "2000-01-01", 0), ("past", "9000-01-01", 1), ("amount", "999.25", 0), ("amount", "1000.5", 1), ("amount", "0.125", 1), ("amount", "-1", 1), ("yes", "true", 0), ("yes", "false", 1), ("even", "4", 0), ("even", "5", 1)])
 _problems("val_json_skip", [("any text", lambda b: b.where(lambda w: w.equals("j", "{")), 0)])
 _problems("val_pattern_empty", [("empty", lambda b: b.where(lambda w: w.contains("s", "")), 1), ("number", lambda b: b.where(lambda w: w.contains("n", "1")), 2)])
 
@@ -375,6 +407,7 @@ _facts("doc_params", "name string", lambda: [(p["name"],) for p in openapi.param
 _facts("doc_param_schema", "operator string, type string", lambda: [(o.value, openapi.parameter_schema(_CHECKED.get("n"), o)["type"]) for o in (Op.EQUALS, Op.IS_NULL, Op.IN, Op.BETWEEN)], [("equals", "integer"), ("isNull", "boolean"), ("in", "string"), ("between", "string")])
 _facts("doc_enum_constraints", "value string", lambda: [(v,) for v in openapi.allowed_values(text("x", pattern="DRAFT|LIVE")) + openapi.allowed_values(typed("y", enum("A", "B")))], [("DRAFT",), ("LIVE",), ("A",), ("B",)])
 _facts("doc_example", "field string, operator string, page long, size long", lambda: [(c["field"], c["searchOperator"], e["page"], e["size"]) for e in [openapi.example(_CHECKED)] for c in e["conditions"]], [("n", "equals", 0, 10)])
+_facts("doc_components", "name string, properties string", lambda: [(n, ",".join(c["properties"])) for n, c in openapi.components(_CHECKED)["schemas"].items()], [("Search", "conditions,sort,page,size"), ("SearchCondition", "operator,field,searchOperator,value,value2"), ("SearchGroup", "operator,conditions"), ("SearchOrder", "field,direction")])
 _facts("doc_page_size_sort", "name string, type string, minimum long", lambda: [(p["name"], p["schema"]["type"], p["schema"].get("minimum", -1)) for p in openapi.paging_parameters(ORDERS)], [("page", "integer", 0), ("size", "integer", 1), ("sort", "array", -1)])
 
 _add("fn_case_when", lambda s, d: _engine(s, d, "events").bucket_sums(Search(), "ts", _FROM, _TO, 2), "SELECT " + ", ".join(f"count(*) FILTER (WHERE bucket = {i}) AS b{i}" for i in range(2)) + f" FROM (SELECT {_BUCKET.format(n=2)} AS bucket FROM events WHERE {_INSIDE})")

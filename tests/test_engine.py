@@ -154,6 +154,48 @@ def test_fetch(blog):
     assert sorted(c.author.name for c in one.comments) == ["Alice", "Bob"] and [t.name for t in one.tags] == ["A", "B"] and four.comments == [] and four.tags == []
 
 
+def test_to_one_relations_are_fetched_by_themselves(blog):
+    engine = Engine(blog, "post", auto_fetch=True)
+    rows = engine.find_all(search().sort(lambda s: s.asc("post_id")).fetch_fields("comments").build()).content.collect()
+    assert [r.author.name if r.author else None for r in rows] == ["Alice", "Alice", "Bob", None, "Boss"]
+    assert sorted(c.author.name for c in rows[0].comments) == ["Alice", "Bob"]
+    assert "author" not in Engine(blog, "post").find_all(Search()).content.columns
+    assert Engine(blog, "tag", auto_fetch=True).find_all(Search()).content.columns == ["tag_id", "name"]
+
+
+def test_fetch_reads_the_page_once(blog, spark, tmp_path, monkeypatch):
+    blog.entity("post").df.write.parquet(str(tmp_path / "p"))
+    engine = Engine(blog.replace("post", spark.read.parquet(str(tmp_path / "p"))), "post")
+    request = search().sort(lambda s: s.asc("post_id")).fetch_fields("author.manager", "comments.author", "tags").build()
+    plan = engine.find_all(request).content._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" not in plan  # the page is a table of its own by then
+    # below the first level nothing is known of the size, so no broadcast is asked for
+    asked, plain = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: asked.append(df.columns) or plain(df))
+    engine.find_all(request)
+    assert len(asked) == 3
+
+
+def test_affected_rows_are_counted_while_writing(blog):
+    from pyspark.sql import Observation
+
+    engine = Engine(blog, "post")
+    for request, want in ((search().where(lambda w: w.equals("views", 5)).build(), 2), (search().where(lambda w: w.equals("tags.name", "A")).build(), 2), (Search(), 5), (search().where(lambda w: w.equals("views", 77)).build(), 0)):
+        deleted, updated = Observation(), Observation()
+        assert len(engine.delete(request, deleted)[0].collect()) == 5 - want
+        assert len(engine.update(request, {"status": "NEW"}, updated).collect()) == 5
+        assert deleted.get["affected"] == updated.get["affected"] == want
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([(1, "b", 5, 7, 9), (2, "a", 6, 8, 9)], "id long, name string, __size int, __pkg int, __score int")
+    kids = spark.createDataFrame([(1, 1, "x"), (2, 2, "y")], "kid long, id long, t string")
+    catalog = Catalog(Entity("e", rows, ("id",), (to_many("kids", "k", ("id", "id")),)), Entity("k", kids, ("kid",)))
+    engine = Engine(catalog, "e")
+    for request in (search().sort(lambda s: s.asc("name")).build(), search().where(lambda w: w.is_not_null("kids.t").or_equals("id", 1)).sort(lambda s: s.asc("kids.t")).fetch_fields("kids").build()):
+        assert engine.find_all(request).content.columns[:5] == rows.columns
+
+
 def test_terminals(blog):
     engine = Engine(blog, "post")
     assert engine.find_one(search().where(lambda w: w.equals("post_id", 3)).build()).title == "keep me"

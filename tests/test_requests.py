@@ -1,9 +1,10 @@
 import json
+import re
 
 import pytest
 
-from lodestone import errors
-from lodestone.errors import SearchError, SearchParseError, SearchValidationError, set_language
+from lodestone import errors, openapi
+from lodestone.errors import SearchConfigurationError, SearchError, SearchParseError, SearchValidationError, set_language
 from lodestone.openapi import description, example, operation, parameters
 from lodestone.plans.builder import from_search, search
 from lodestone.plans.ir import Condition, Group, Logic, Op, Search
@@ -190,3 +191,48 @@ def test_a_missing_direction_means_ascending():
 
 def test_no_operators_means_all():
     assert all(POSTS.get("status").allows(o) for o in Op) and not POSTS.get("id").allows(Op.LESS_THAN)
+
+
+@pytest.mark.parametrize(
+    ("field", "kind", "more", "good", "bad"),
+    [
+        ("f", "string", {"constraints": ("not_blank",)}, ["x"], [" ", "\t"]),
+        ("f", "string", {"constraints": ("not_empty",)}, ["x", " "], [""]),
+        ("f", "string", {"constraints": ("email",)}, ["a@b", "a.b+c@x-y.example.org", ""], ["a", "@b", "a@", "a b@c", "a@-b", ".a@b", "a..b@c"]),
+        ("f", "date", {"constraints": ("past",)}, ["1999-12-31"], ["9999-01-01"]),
+        ("f", "datetime", {"constraints": ("future",)}, ["9999-01-01T00:00:00"], ["1999-12-31T00:00:00"]),
+        ("f", "timestamp", {"constraints": ("past_or_present",)}, ["1999-12-31T00:00:00Z"], ["9999-01-01T00:00:00Z"]),
+        ("f", "timestamp", {"constraints": ("future_or_present",)}, ["9999-01-01T00:00:00Z"], ["1999-12-31T00:00:00Z"]),
+        ("f", "int", {"constraints": ("positive",)}, [1], [0, -1]),
+        ("f", "double", {"constraints": ("positive_or_zero",)}, [0.0, 0.5], [-0.5]),
+        ("f", "long", {"constraints": ("negative",)}, [-1], [0, 1]),
+        ("f", "decimal", {"constraints": ("negative_or_zero",)}, ["0", "-1.5"], ["0.1"]),
+        ("f", "boolean", {"constraints": ("assert_true",)}, [True, "true"], [False]),
+        ("f", "boolean", {"constraints": ("assert_false",)}, [False], [True]),
+        ("f", "decimal", {"digits": (3, 2)}, ["999.99", "0.5", "-12.30", "0", "5e2"], ["1000", "0.125", "1e3"]),
+        ("f", "int", {"check": lambda v: v % 2 == 0}, [2], [3]),
+    ],
+)
+def test_rules_of_values(field, kind, more, good, bad):
+    schema = SearchSchema("s", (typed(field, kind, **more),))
+    for v in good:
+        search(schema).where(lambda w, v=v: w.equals(field, v)).build()
+    for v in bad:
+        assert len(problems(lambda b, v=v: b.where(lambda w: w.equals(field, v)), schema)) == 1
+    assert len(problems(lambda b: b.where(lambda w: w.in_(field, [*good, *bad])), schema)) == len(bad)
+
+
+def test_unknown_rules_are_an_error():
+    with pytest.raises(SearchConfigurationError):
+        text("f", constraints=("shiny",))
+
+
+def test_components_are_complete():
+    made = openapi.components(POSTS)
+    names = set(re.findall(r"#/components/schemas/(\w+)", json.dumps([made, openapi.operation(POSTS, "post")])))
+    assert names == set(made["schemas"])
+    condition = made["schemas"]["SearchCondition"]["properties"]
+    assert condition["field"]["enum"] == [f.name for f in POSTS.all()] and "between" in condition["searchOperator"]["enum"]
+    assert "enum" not in openapi.components()["schemas"]["SearchOrder"]["properties"]["field"]
+    rules = SearchSchema("r", (text("m", constraints=("email", "not_blank")), typed("n", "int", constraints=("positive",))))
+    assert openapi.value_schema(rules.get("m")) == {"type": "string", "format": "email", "minLength": 1} and openapi.value_schema(rules.get("n"))["exclusiveMinimum"] == 0
