@@ -211,3 +211,24 @@ def test_documents_alone_have_no_scores(spark, awkward, empty):
     alone = suffix_lm.score_documents(spark.createDataFrame([(1, "a b"), (2, None)], "item_id long, text string")).collect()
     assert sorted(map(tuple, alone)) == [(1, 2, None, None, None, None), (2, 0, 0.0, None, None, None)]
     assert suffix_lm.score_documents(awkward.withColumnRenamed("doc_id", "item_id")).count() == awkward.count()
+
+
+def test_repeated_texts_are_looked_up_once(spark, monkeypatch):
+    written = {}
+    write = suffix_lm.store.write
+
+    def keep(df, name):
+        out = write(df, name)
+        if name == "lm-chunks":
+            written["words"] = sum(len(suffix_lm.Chunk.load(r.body).codes) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(suffix_lm.store, "write", keep)
+    texts = ["a b c d e f"] * 6 + ["b c d e f g", "", None]
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[0])]
+    got = suffix_lm.score_documents(spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert written["words"] == 12 and len(got) == len(rows) and sum(r.item_id == 3 for r in got) == 2
+    corpus = [split(t or "") for _, t in rows]
+    want, longest = brute_lm(corpus[1:], split(texts[0]))
+    same = [r for r in got if r.words == 6 and r.item_id != 6]
+    assert len(same) == 8 and all(math.isclose(r.log_prob, want, rel_tol=1e-9) and r.longest_context == longest for r in same)
