@@ -241,3 +241,34 @@ def test_fingerprints_on_awkward_tables(awkward, empty):
     assert len(rows) == awkward.count() and all(by[i].kmers == 0 and by[i].fingerprint == [] for i in (1, 2, 3, 7))
     assert by[5].fingerprint == by[6].fingerprint and len(by[5].fingerprint) == order_minhash.SIGNATURES and by[4].kmers == 59_998
     assert order_minhash.order_minhash(empty).count() == 0
+
+
+def classes_by_brute_force(docs):
+    """(class, links) of each id."""
+    pairs = {p for p in brute([(i, t) for i, t in docs if i is not None and t], 0.6)}
+    out = {i: [i, len({y for p in pairs for x, y in (p, p[::-1]) if x == i})] for i, _ in docs if i is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(out[a][0], out[b][0])
+            changed |= out[a][0] != low or out[b][0] != low
+            out[a][0] = out[b][0] = low
+    return {i: tuple(x) for i, x in out.items()}
+
+
+def test_classes_have_a_row_for_each_document(spark, copies, awkward, empty):
+    base = " ".join(f"b{k}" for k in range(60))
+    near, far = base + " end", " ".join(f"c{k}" for k in range(60))
+    docs = [(7, near), (8, near), (3, base), (2, base), (5, base), (9, "other words here"), (10, ""), (11, None), (None, base)]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes_by_brute_force(docs) and got[7] == (2, 4)
+    # an id of two texts links both groups, and counts once
+    both = [*docs, (20, far), (21, far), (22, base), (22, far), (22, near)]
+    rows = jaccard_join.classes(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.class_id, r.links) for r in rows}
+    assert len(rows) == len(got) and got[22] == (2, 7) and got[20] == (2, 2) and got[7] == (2, 5) and got[9] == (9, 0)
+    rows = jaccard_join.classes(spark.createDataFrame(copies, "doc_id long, text string"), exact=True).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in rows} == classes_by_brute_force(copies)
+    assert jaccard_join.classes(empty).count() == 0
+    assert {r.doc_id: (r.class_id, r.links) for r in jaccard_join.classes(awkward).collect()}[6] == (5, 1)
