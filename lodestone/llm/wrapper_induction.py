@@ -37,9 +37,9 @@ _CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Distinct tokens that a process numbers before it starts anew; a page that alone
 #: has more is not folded.  (There are 1,048,576 characters to number them with.)
 SYMBOLS = 400_000
-#: Cells of an alignment that is weighed pair by pair; larger ones are first cut
-#: at a longest common subsequence, whose bit rows take so many bytes at most.
-CELLS, BIT_BYTES = 250_000, 32 << 20
+#: Cells of an alignment whose steps are kept at once, and bytes of the bit rows of
+#: a longest common subsequence; neither changes what is found.
+CELLS, BIT_BYTES = 4_000_000, 32 << 20
 #: Distinct streams of one part of a host, and parts that are merged at once.
 PART_STREAMS, MERGED = 64, 16
 #: Repeats are folded, the shortest first, so that inner repeats do not keep
@@ -305,10 +305,9 @@ def common(x: list, y: list) -> list[tuple[int, int]]:
 def pairs(a: list[Node], b: list[Node]) -> list[tuple[int, int, int, int]]:
     """The heaviest alignment: (i, i2, j, j2) says that a[i:i2] and b[j:j2] match.
 
-    A repeated group also matches a single copy of its body.  Lists of more than
-    ``CELLS`` pairs of nodes are cut at a longest common subsequence of equal
-    nodes first, and what lies between two of these is aligned on its own: there
-    memory is bounded and time follows the lengths' product in machine words.
+    A repeated group also matches a single copy of its body.  Lists of any
+    lengths are aligned in the same way: time follows the lengths' product, a
+    row of numbers at a time, and ``_heaviest`` bounds memory.
     """
     out: list[tuple[int, int, int, int]] = []
     lo = 0
@@ -320,49 +319,101 @@ def pairs(a: list[Node], b: list[Node]) -> list[tuple[int, int, int, int]]:
     while p > lo and q > lo and a[p - 1].key == b[q - 1].key:
         tail.append((p - 1, p, q - 1, q))
         p, q = p - 1, q - 1
-    if (p - lo) * (q - lo) <= CELLS:
-        return out + [(i + lo, i2 + lo, j + lo, j2 + lo) for i, i2, j, j2 in _heaviest(a[lo:p], b[lo:q])] + tail[::-1]
-    i, j = lo, lo
-    for x, y in [*((x + lo, y + lo) for x, y in common([n.key for n in a[lo:p]], [n.key for n in b[lo:q]])), (p, q)]:
-        if i < x and j < y and (x - i) * (y - j) <= CELLS:
-            out += [(s + i, s2 + i, t + j, t2 + j) for s, s2, t, t2 in _heaviest(a[i:x], b[j:y])]
-        if x < p:
-            out.append((x, x + 1, y, y + 1))
-        i, j = x + 1, y + 1
-    return out + tail[::-1]
-
-
-def _heaviest(a: list[Node], b: list[Node]) -> list[tuple[int, int, int, int]]:
+    return out + [(i + lo, i2 + lo, j + lo, j2 + lo) for i, i2, j, j2 in _heaviest(a[lo:p], b[lo:q])] + tail[::-1]
+
+
+def _places(body: list[int], codes: np.ndarray) -> np.ndarray:
+    """Where the body begins in the list."""
+    n = len(body)
+    if n > len(codes):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(codes[: len(codes) - n + 1] == body[0])
+    for k in range(1, n):
+        at = at[codes[at + k] == body[k]]
+    return at
+
+
+def _heaviest(a: list[Node], b: list[Node], cells: int = CELLS) -> list[tuple[int, int, int, int]]:
+    """``pairs`` of all nodes.  Rows of the best weights are made from the last one
+    up; the steps are kept for blocks of about ``cells`` cells, and every block is
+    made again, from the rows below it, when the way leads through it."""
     p, q = len(a), len(b)
-    ka, kb = [n.key for n in a], [n.key for n in b]
-    body_a = {i: [n.key for n in a[i].body] for i in range(p) if a[i].body is not None}
-    body_b = {j: [n.key for n in b[j].body] for j in range(q) if b[j].body is not None}
-    best = [[0] * (q + 1) for _ in range(p + 1)]
-    step: list[list[tuple[int, int]]] = [[(1, 1)] * (q + 1) for _ in range(p + 1)]
+    if not p or not q:
+        return []
+    number: dict[str, int] = {}
+    ka, kb = (np.array([number.setdefault(n.key, len(number)) for n in x]) for x in (a, b))
+    bodies = [{i: [number.get(n.key, -1) for n in x[i].body] for i in range(len(x)) if x[i].body is not None} for x in (a, b)]
     weights = [n.weight() for n in a]
+    # by a's node: where b has equal ones, like groups, or single copies of its body
+    same = {k: np.flatnonzero(kb == k) for k in set(ka.tolist())}
+    by_first: dict[str, list[int]] = {}
+    for j in bodies[1]:
+        by_first.setdefault(b[j].body[0].key, []).append(j)
+    first = {k: np.array([j for j in js if b[j].body[0].tag != TEXT], np.int64) for k, js in by_first.items()}
+    alike = {i: x[kb[x] != ka[i]] for i in bodies[0] for x in [first.get(a[i].body[0].key, np.zeros(0, np.int64))]}
+    copies = {i: np.setdiff1d(_places(body, kb), np.union1d(alike[i], same[int(ka[i])])) for i, body in bodies[0].items()}
+    # b's groups by their key, and by a's node those of whose body a single copy begins there
+    alikes = {int(k): (np.flatnonzero(kb == k), bodies[1][j]) for k, j in {int(kb[j]): j for j in bodies[1]}.items()}
+    groups: dict[int, list[int]] = {}
+    asked: dict[int, list[tuple[int, int]]] = {}
+    for k, (_, body) in alikes.items():
+        for i in _places(body, ka).tolist():
+            if ka[i] != k:
+                groups.setdefault(i, []).append(k)
+                asked.setdefault(i + len(body), []).append((i, k))
+    later: dict[tuple[int, int], np.ndarray] = {}  # best weights that rows further up ask for
+
+    def ask(i: int, row: np.ndarray) -> None:
+        for x, k in asked.get(i, ()):
+            later[x, k] = row[alikes[k][0] + 1]
+
+    def up(i: int, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of i from that of i + 1; and its steps: 0 past a's node, 1 past
+        b's, 2 a match, 3 a group and a copy, 4 a copy and a group."""
+        kind, value = np.zeros(q, np.int8), nxt[:q].copy()
+        at = np.concatenate([same[int(ka[i])], alike[i]]) if i in alike else same[int(ka[i])]
+        v = nxt[at + 1] + weights[i]
+        at, v = at[v >= value[at]], v[v >= value[at]]
+        value[at], kind[at] = v, 2
+        if i in copies and len(at := copies[i]):
+            v = nxt[at + len(bodies[0][i])] + weights[i] - 1
+            at, v = at[v > value[at]], v[v > value[at]]
+            value[at], kind[at] = v, 3
+        for k in groups.get(i, ()):
+            at, v = alikes[k][0], later[i, k] + weights[i]
+            better = v > value[at]
+            if i in alike:
+                better &= ~np.isin(at, np.concatenate([alike[i], copies[i]]))
+            value[at[better]], kind[at[better]] = v[better], 4
+        row = np.zeros(q + 1, np.int64)
+        row[:q] = np.maximum.accumulate(value[::-1])[::-1]
+        # past b's node where that is better; a match is as good, a copy is not
+        right = row[1:]
+        kind[(right > value) | (right == value) & (kind > 2)] = 1
+        ask(i, row)
+        return row, kind
+
+    height = max(1, cells // q, int(p**0.5))
+    row = np.zeros(q + 1, np.int64)
+    ask(p, row)
+    below = {}
     for i in range(p - 1, -1, -1):
-        row, nxt, moves = best[i], best[i + 1], step[i]
-        for j in range(q - 1, -1, -1):
-            value, move = (nxt[j], (1, 0)) if nxt[j] >= row[j + 1] else (row[j + 1], (0, 1))
-            if ka[i] == kb[j] or (i in body_a and j in body_b and _similar(a[i], b[j])):
-                v = nxt[j + 1] + weights[i]
-                if v >= value:
-                    value, move = v, (1, 1)
-            elif i in body_a and kb[j : j + len(body_a[i])] == body_a[i]:
-                n = len(body_a[i])
-                v = nxt[j + n] + weights[i] - 1
-                if v > value:
-                    value, move = v, (1, n)
-            elif j in body_b and ka[i : i + len(body_b[j])] == body_b[j]:
-                n = len(body_b[j])
-                v = best[i + n][j + 1] + weights[i]
-                if v > value:
-                    value, move = v, (n, 1)
-            row[j], moves[j] = value, move
+        if (p - 1 - i) % height == 0:
+            below[i] = row
+        row, _ = up(i, row)
+        for k in groups.get(i, ()):  # what the block's own rows give again is not kept
+            if i + len(alikes[k][1]) <= p - 1 - (p - 1 - i) // height * height:
+                del later[i, k]
     out = []
-    i, j = 0, 0
+    i, j, steps = 0, 0, {}
     while i < p and j < q:
-        x, y = step[i][j]
+        if i not in steps:
+            low = p - 1 - (p - 1 - i) // height * height
+            row, steps = below[low], {}
+            for k in range(low, i - 1, -1):
+                row, steps[k] = up(k, row)
+        kind = steps[i][j]
+        x, y = ((1, 0), (0, 1), (1, 1), (1, len(bodies[0].get(i, ()))), (len(bodies[1].get(j, ())), 1))[kind]
         if x and y:
             out.append((i, i + x, j, j + y))
         i, j = i + x, j + y

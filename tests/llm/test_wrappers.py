@@ -293,3 +293,17 @@ def test_parts_of_a_host_are_merged_in_a_tree(spark, site):
     assert len(one) == len(many) == 1 and one[0].pages == many[0].pages == len(rows)
     text = W.expression(W.load(json.loads(many[0].wrapper)))
     assert "(<li><a>" in text and "<blockquote>?" in text and "<div.ad>?" in text
+
+
+def test_alignment_does_not_depend_on_the_size(monkeypatch):
+    rng = random.Random(11)
+
+    def nodes():
+        z = [rng.choice(["p", "/p", "b", "#", "#"]) if rng.random() < 0.7 else [rng.choice(["p", "/p", "#"]) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(30))]
+        return W.build(z, [None] * json.dumps(z).count('"#"'), [1] * json.dumps(z).count('"#"'))
+
+    cases = [(nodes(), nodes()) for _ in range(100)]
+    want = [W.pairs(a, b) for a, b in cases]
+    monkeypatch.setattr(W, "CELLS", 1)
+    assert [W.pairs(a, b) for a, b in cases] == want
+    assert all(W._heaviest(a, b, 1) == W._heaviest(a, b, 10_000) for a, b in cases)
