@@ -198,6 +198,31 @@ def test_documents_are_scored_under_all_others(spark, rng, english, chunk, bucke
         assert math.isclose(got[i].log_prob, log, rel_tol=1e-9) and got[i].longest_context == longest and got[i].words == len(split(t))
 
 
+@pytest.mark.parametrize(("chunk", "bucket", "reach", "heavy"), [(250_000, 2_000_000, 12, 1_000_000), (60, 50, 5, 1_000_000), (60, 50, 4, 6), (200, 2_000, 8, 0)])
+def test_shared_histories_are_compared(spark, rng, english, chunk, bucket, reach, heavy):
+    """Near copies, repeated lines and rows that repeat a text, over several levels of runs and by counts."""
+    base = sentence(rng, 60, english).split()
+    docs = [" ".join(w if rng.random() < 0.97 else rng.choice(english) for w in base[rng.randrange(20) :]) for _ in range(5)]
+    docs += [docs[0], docs[0], " ".join(base[30:50] * 2), "a b c d e " * 6, "a b c d e f " * 5 + "a b c d", "a b c d e " * 5, sentence(rng, 25, english[:3]), sentence(rng, 25, english[:3])]
+    table = spark.createDataFrame(list(enumerate(docs)), "item_id long, text string").repartition(3)
+    got = {r.item_id: r for r in suffix_lm.score_documents(table, chunk_words=chunk, bucket_words=bucket, reach=reach, heavy=heavy).collect()}
+    corpus = [split(t) for t in docs]
+    for k, words in enumerate(corpus):
+        log, longest = brute_lm(corpus[:k] + corpus[k + 1 :], words)
+        assert math.isclose(got[k].log_prob, log, rel_tol=1e-9) and got[k].longest_context == longest, k
+
+
+def test_copied_passages_take_few_rounds(spark, rng, english, monkeypatch):
+    """Counts of a copied passage fall in many steps, which are found by comparing its places a few times."""
+    written = []
+    parts = suffix_lm.store.write_parts
+    monkeypatch.setattr(suffix_lm.store, "write_parts", lambda df, name, *a: written.append(name) or parts(df, name, *a))
+    base = sentence(rng, 300, english).split()
+    docs = [" ".join([*base[9 * k :], f"end{k}"]) for k in range(30)]
+    got = suffix_lm.score_documents(spark.createDataFrame(list(enumerate(docs)), "item_id long, text string")).collect()
+    assert max(r.longest_context for r in got) == 291 and len(written) <= 6
+
+
 def test_query_scores_documents(spark):
     from lodestone.llm import queries
 
