@@ -198,7 +198,7 @@ def test_documents_are_scored_under_all_others(spark, rng, english, chunk, bucke
         assert math.isclose(got[i].log_prob, log, rel_tol=1e-9) and got[i].longest_context == longest and got[i].words == len(split(t))
 
 
-@pytest.mark.parametrize(("chunk", "bucket", "reach", "heavy"), [(250_000, 2_000_000, 12, 1_000_000), (60, 50, 5, 1_000_000), (60, 50, 4, 6), (200, 2_000, 8, 0)])
+@pytest.mark.parametrize(("chunk", "bucket", "reach", "heavy"), [(250_000, 2_000_000, 12, 1_000_000), (60, 20, 5, 1_000_000), (60, 50, 4, 6), (200, 2_000, 8, 0)])
 def test_shared_histories_are_compared(spark, rng, english, chunk, bucket, reach, heavy):
     """Near copies, repeated lines and rows that repeat a text, over several levels of runs and by counts."""
     base = sentence(rng, 60, english).split()
