@@ -223,6 +223,52 @@ def test_copied_passages_take_few_rounds(spark, rng, english, monkeypatch):
     assert max(r.longest_context for r in got) == 291 and len(written) <= 6
 
 
+def test_copies_alone_are_settled_at_once(spark, rng, english, monkeypatch):
+    """Where only a text's own rows have a history, its length takes no further round."""
+    written = []
+    parts = suffix_lm.store.write_parts
+    monkeypatch.setattr(suffix_lm.store, "write_parts", lambda df, name, *a: written.append(name) or parts(df, name, *a))
+    long = sentence(rng, 300, [f"{w}{k}" for w in english for k in range(9)])
+    docs = [long, long, " ".join([*long.split()[40:48], "other", *long.split()[90:99]]), sentence(rng, 20, english)]
+    got = {r.item_id: r for r in suffix_lm.score_documents(spark.createDataFrame(list(enumerate(docs)), "item_id long, text string")).collect()}
+    assert written == ["lm-parts", "lm-runs"]
+    corpus = [split(t) for t in docs]
+    for k, words in enumerate(corpus):
+        log, longest = brute_lm(corpus[:k] + corpus[k + 1 :], words)
+        assert math.isclose(got[k].log_prob, log, rel_tol=1e-9) and got[k].longest_context == longest
+    assert got[0].longest_context == 299
+
+
+@pytest.mark.parametrize(("far", "depths"), [(16, 128), (0, 0)])
+def test_sorted_histories_and_bounds(rng, monkeypatch, far, depths):
+    monkeypatch.setattr(suffix_lm, "FAR", far)
+    monkeypatch.setattr(suffix_lm, "DEPTHS", depths)
+    for _ in range(60):
+        text = [rng.randrange(1, 4) for _ in range(rng.randrange(8, 60))]
+        text += text[: rng.randrange(len(text))]
+        at = np.arange(3, len(text))
+        there = np.minimum(at + 1, rng.choice([5, 12, 100]))
+        codes = np.array(text, np.int32)
+        group = suffix_lm.mix((codes[at] * 16 + codes[at - 1] * 4 + codes[at - 2]).astype(np.uint64))
+        order, common = suffix_lm.sort_histories(codes, at, there, group, 3)
+        for k, (i, j) in enumerate(zip(order[:-1].tolist(), order[1:].tolist(), strict=True), 1):
+            least = min(there[i], there[j])
+            same = next((n for n in range(least) if text[at[i] - n] != text[at[j] - n]), least)
+            assert common[k] == same if same >= 3 else common[k] <= 3
+        common[0] = common[-1] = -1
+        lo, hi = suffix_lm._bounds(common, 3)
+        for k in np.flatnonzero(common > 3).tolist():
+            smaller = np.flatnonzero(common < common[k])
+            assert lo[k] == smaller[smaller < k].max() and hi[k] == smaller[smaller > k].min()
+
+
+def test_packed_arrays_come_back():
+    cells = [(np.arange(300, dtype="u8") << np.uint64(40), "u8"), (np.zeros(0), "f8"), (np.arange(7) - 3, "i4"), (np.linspace(0, 1, 5), "f8")]
+    for (x, kind), y in zip(cells, suffix_lm.unpack(suffix_lm.pack(*cells), *(k for _, k in cells)), strict=True):
+        assert y.dtype == kind and (x == y).all()
+    assert len(suffix_lm.unpack(suffix_lm.pack((np.zeros(0), "f8")), "f8")[0]) == 0
+
+
 def test_query_scores_documents(spark):
     from lodestone.llm import queries
 
